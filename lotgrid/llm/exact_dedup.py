@@ -50,7 +50,9 @@ class DigestIndex:
     def append(self, batch: DataFrame) -> None:
         """batch: digest, doc_id, uid. Adds the digests that the index lacks; those it has stay as they are."""
         groups = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "uid")).alias("top"), F.count("*").alias("group_size"))
-        fresh = groups.join(self.entries().hint("merge"), "digest", "left_anti")
+        # The second condition keeps the anti-join above the grouping: below it, rows would be shuffled, not groups.
+        known = self.entries().select(F.col("digest").alias("_known")).hint("merge")
+        fresh = groups.join(known, (F.col("digest") == F.col("_known")) & (F.col("group_size") > 0), "left_anti")
         fresh = fresh.select("digest", F.col("top.doc_id").alias("keep_id"), F.col("top.uid").alias("keep_uid"), "group_size")
         fresh.write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)

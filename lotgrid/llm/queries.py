@@ -7,23 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, langid, minhash, mixing, packing, token_store
+from .scratch import fresh_path
+from .text import crc_mod
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-store")
+    token_store.write_store(_docs(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    rows = token_store.TokenStore(spark, path).read()
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = langid.train(docs, ~held_out)
+    return model.predict(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir)).drop("uid")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.plan_mix(_docs(spark, sf_dir))
-    return out.drop("uid")
+    return mixing.plan_mix(_docs(spark, sf_dir)).drop("uid")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op4_minhash": op4_minhash,
+    "op6_language_id": op6_language_id,
+    "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_mixing": op10_mixing,
 }
