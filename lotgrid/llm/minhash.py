@@ -7,8 +7,10 @@
 2. Every bucket links its members to one of them, the centre: n - 1 candidate pairs for n members.
 3. Candidates are confirmed on the full sets: texts are dealt by centre (a centre with many members over several
    tasks, each holding one set at a time).
-4. Members that a centre doesn't match may match each other. As long as a bucket holds members of different components
-   whose pairs weren't tested, it gets another centre, until ROUNDS without a new link have passed.
+4. Members that a centre doesn't match may match each other. In each bucket that still holds several components, the
+   members outside its largest component are queries against all its members, in blocks: a task holds QUERIES sets,
+   counts shared shingles through an inverted index while the members stream by, and gives links that join components,
+   never pairs. So every link between documents that share a bucket is found.
 
 Two texts with similarity 0.8 share none of the 32 buckets with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8.
 """
@@ -28,6 +30,8 @@ from .scratch import small_batches, written
 BINS, ROWS = 128, 4
 #: Members of a centre that one task tests at most (about).
 MEMBERS = 256
+#: Queries that a task holds at most (about), and members that stream past them.
+QUERIES, STREAM = 256, 2048
 _MEMORY = 400_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -126,34 +130,112 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs (centre, member, distinct) with linked: 100 * intersection >= percent * union of the full sets."""
     crowd = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     members = pairs.join(crowd, "centre").select("centre", F.col("member").alias("doc_id"), F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_centre"))
     centres = crowd.select("centre", F.col("centre").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_centre"))
-    wanted = members.unionByName(centres)
-    texts = _rows(docs).join(wanted.hint("merge"), "doc_id")
-    dealt = texts.repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("is_centre"))
+    dealt = texts.join(members.unionByName(centres).hint("merge"), "doc_id")
+    dealt = dealt.repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("is_centre"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, []
         for b in batches:
             out = []
-            for centre, doc, first, text in zip(*(b.column(c).to_pylist() for c in ("centre", "doc_id", "is_centre", "text")), strict=True):
+            for centre, part, doc, first, text in zip(*(b.column(c).to_pylist() for c in ("centre", "part", "doc_id", "is_centre", "text")), strict=True):
                 s = shingle_set(text, width)
-                if first:
-                    own = [s] if now != centre or not own else [*own, s]
-                    now = centre
-                    continue
-                hit = False
-                for x in own:  # several rows may have the centre's id
-                    both = len(np.intersect1d(x, s, assume_unique=True))
-                    hit |= both > 0 and 100 * both >= percent * (len(x) + len(s) - both)
-                out.append((centre, doc, hit))
+                if first:  # several rows may have the centre's id
+                    own = [*own, s] if now == (centre, part) else [s]
+                    now = centre, part
+                else:
+                    out.append((centre, doc, any(_similar(x, s, percent) for x in own)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], ["centre", "member", "linked"])
 
-    return dealt.select("centre", "doc_id", "is_centre", "text").mapInArrow(test, "centre long, member long, linked boolean")
+    return dealt.select("centre", "part", "doc_id", "is_centre", "text").mapInArrow(test, "centre long, member long, linked boolean")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+class QueryBlock:
+    """Sets that others are compared with, by an inverted index; gives links that join components, each once."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]], percent: int):
+        """rows: id, component and set."""
+        self.percent, self.ids = percent, [r[0] for r in rows]
+        names = sorted({r[1] for r in rows})
+        self.parent = {c: c for c in names}
+        self.of = [r[1] for r in rows]
+        self.sizes = np.array([len(r[2]) for r in rows])
+        shingles = np.concatenate([r[2] for r in rows])
+        owners = np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(shingles, kind="stable")
+        self.owners = owners[order]
+        self.keys, self.starts, self.runs = np.unique(shingles[order], return_index=True, return_counts=True)
+
+    def find(self, c: int) -> int:
+        while self.parent.setdefault(c, c) != c:
+            self.parent[c] = self.parent[self.parent[c]]
+            c = self.parent[c]
+        return c
+
+    def links(self, doc: int, comp: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
+        at = np.searchsorted(self.keys, s)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == s]
+        starts, runs = self.starts[at], self.runs[at]
+        where = np.repeat(starts - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum()) if len(at) else at
+        both = np.bincount(self.owners[where], minlength=len(self.ids))
+        hit = (both > 0) & (100 * both >= self.percent * (self.sizes + len(s) - both))
+        for k in np.flatnonzero(hit).tolist():
+            a, b = self.find(self.of[k]), self.find(comp)
+            if a != b:
+                self.parent[a] = b
+                yield self.ids[k], doc
+
+
+def remaining(texts: DataFrame, edges: DataFrame, failed: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between components in the buckets where a centre failed to match a member.
+
+    edges: bucket, centre, member; failed: centre, member; labels: node, label of nodes with links.
+    """
+    spread = F.xxhash64("member")
+    open_ = edges.join(failed.hint("merge"), ["centre", "member"], "left_semi").select("bucket").distinct()
+    rows = edges.join(open_.hint("merge"), "bucket", "left_semi")
+    rows = rows.select("bucket", "member").unionByName(rows.select("bucket", F.col("centre").alias("member")).distinct())
+    rows = rows.join(labels.withColumnRenamed("node", "member").hint("merge"), "member", "left").withColumn("comp", F.coalesce("label", "member"))
+    rows = written(rows.select("bucket", "member", "comp"), "open-buckets")
+    counts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
+    counts = counts.where("all > top.n").select("bucket", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM).cast("int").alias("chunks"))
+    rows = rows.join(counts, "bucket")
+    block = F.pmod(spread, F.col("blocks")).cast("int")
+    chunk = F.pmod(F.shiftright(spread, 20), F.col("chunks").cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = rows.where("comp <> main").select("bucket", "member", "comp", block.alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("query"))
+    streamed = rows.select("bucket", "member", "comp", every("blocks").alias("block"), chunk.alias("chunk"), F.lit(False).alias("query"))
+    dealt = texts.join(queries.unionByName(streamed).withColumnRenamed("member", "doc_id").hint("merge"), "doc_id")
+    dealt = dealt.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", F.desc("query"))
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for bucket, blk, chk, doc, comp, query, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "chunk", "doc_id", "comp", "query", "text")), strict=True):
+                if now != (bucket, blk, chk):
+                    now, held, index = (bucket, blk, chk), [], None
+                s = shingle_set(text, width)
+                if query:
+                    held.append((doc, comp, s))
+                elif held:
+                    index = index or QueryBlock(held, percent)
+                    out += index.links(doc, comp, s)
+            cols = list(zip(*out, strict=True)) or [(), ()]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], ["u", "v"])
+
+    return dealt.select("bucket", "block", "chunk", "doc_id", "comp", "query", "text").mapInArrow(test, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -170,10 +252,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     reps = named.join(classes.withColumnRenamed("cid", "doc_id"), ["doc_id", "set_key"], "left_semi")
     members = written(reps.select(F.col("doc_id").alias("cid"), F.explode("buckets").alias("bucket")).distinct(), "buckets")
     centres = members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    pairs = members.join(centres, "bucket").where("cid <> centre").select("centre", F.col("cid").alias("member")).distinct()
-    tested = written(confirmed(docs, written(pairs, "pairs"), width, percent).distinct(), "tested")
-    links = tested.where("linked")
-    near = components(links.select(F.col("centre").alias("u"), F.col("member").alias("v")))
+    edges = written(members.join(centres, "bucket").where("cid <> centre").select("bucket", "centre", F.col("cid").alias("member")), "stars")
+    pairs = written(edges.select("centre", "member").distinct(), "pairs")
+    involved = pairs.select(F.col("member").alias("doc_id")).union(pairs.select("centre")).distinct()
+    texts = written(_rows(docs).join(involved.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
+    tested = written(confirmed(texts, pairs, width, percent), "tested")
+    links = tested.where("linked").select(F.col("centre").alias("u"), F.col("member").alias("v")).distinct()
+    near = components(links)
+    failed = tested.where("NOT linked").select("centre", "member").distinct()
+    if failed.limit(1).count():
+        more = written(remaining(texts, edges, failed, near, width, percent), "more-links")
+        if more.limit(1).count():
+            near = components(links.unionByName(more))
     out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     out = out.join(near.withColumnRenamed("node", "cid"), "cid", "left")
     group = F.when(F.col("n_shingles") > 0, F.coalesce("label", "cid"))
