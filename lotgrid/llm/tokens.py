@@ -1,12 +1,15 @@
 """Token ids by a tokenizer file, with a bounded memory of chunks met before.
 
 Both kinds of tokenizer that are told apart here never join characters over a blank, so a text can be cut at blanks, and
-each chunk's ids can be remembered. Texts for which that doesn't hold are encoded whole.
+each chunk's ids can be remembered. A word followed by a full stop or comma, or joined to the next by a line feed, is put
+together from its parts, which the tokenizers' patterns keep apart too. Texts for which that doesn't hold are encoded
+whole; tokenizers of other kinds encode whole texts only.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import cache
 
@@ -14,47 +17,111 @@ import numpy as np
 
 #: Two white-space characters around a blank, or two blanks: the byte-level pattern looks ahead over them.
 _RUNS = re.compile(r"  |\s \s")
+#: Latin letters, then one mark.
+_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
 #: Longer chunks aren't remembered.
 _LONG = 48
+_SPACE = re.compile(r"\s")
+
+
+class _Memory:
+    """ids by chunk, in two generations: what was used since the last change of generation outlives the next."""
+
+    def __init__(self, entries: int):
+        self.entries, self.new, self.old, self.long = entries, {}, {}, set()
+
+    def lacks(self, chunks: set[str]) -> set[str]:
+        """Which of chunks aren't known; the known ones are in `new` afterwards."""
+        missing = chunks.difference(self.new)
+        if self.old:
+            again = {k: self.old[k] for k in missing if k in self.old}
+            self.new.update(again)
+            missing.difference_update(again)
+        return missing
+
+    def turn(self) -> None:
+        """Between batches: begin a new generation when this one is full; chunks too long to keep go at once."""
+        for k in self.long:
+            self.new.pop(k, None)
+        self.long.clear()
+        if len(self.new) > self.entries:
+            self.old, self.new = self.new, {}
 
 
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, path: str, entries: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.entries = entries
         first, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         parts = [x.get("type") for x in first.get("normalizers", [])]
         if not first and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.mode = "blank"  # a blank goes with the word after it
+            self.mode, self.stop = "blank", "\n"  # a blank goes with the word after it
         elif parts == ["NFC", "Replace", "Lowercase"] and pre.get("pretokenizers", [{}])[0].get("behavior") == "Removed":
-            self.mode = "word"  # blanks are dropped
+            self.mode, self.stop = "word", " \0 "  # blanks are dropped
         else:
-            self.mode = "whole"
-        self.first: dict[str, bytes] = {}  # chunks at the start of a text
-        self.later: dict[str, bytes] = {}  # chunks after a blank
+            self.mode, self.stop = "whole", "\n"
+        self.stop_id = self.tok.encode(self.stop.strip(" "), add_special_tokens=False).ids
+        self.head = _Memory(entries)  # chunks at the start of a text or line
+        self.later = _Memory(entries) if self.mode == "blank" else self.head  # chunks after a blank
+        self.mark = {m: self._ids([m])[0] for m in ".,\n"}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memory: dict[str, bytes], chunks: set[str], before: str) -> dict[str, bytes]:
-        """What memory lacks of chunks; short ones are remembered, long ones only returned."""
-        new = sorted(chunks.difference(memory))
-        if not new:
-            return memory
-        found = dict(zip(new, self._ids([before + x for x in new]), strict=True))
-        if len(memory) > self.entries:
-            memory.clear()
-            return found | self._learn(memory, chunks - found.keys(), before)
-        memory.update({k: v for k, v in found.items() if len(k) <= _LONG})
-        long = {k: v for k, v in found.items() if len(k) > _LONG}
-        return {**{k: memory[k] for k in chunks if k in memory}, **long} if long else memory
+    def _many(self, chunks: list[str]) -> list[bytes]:
+        """ids of chunks without white space inside (a blank may come first), by one call with stops between them."""
+        if len(self.stop_id) != 1:
+            return self._ids(chunks)
+        ids = np.array(self.tok.encode_batch_fast([self.stop.join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.stop_id[0])
+        if len(ends) != len(chunks) - 1:
+            return self._ids(chunks)
+        raw, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
+
+    def _learn(self, memory: _Memory, chunks: set[str], before: str) -> None:
+        missing = memory.lacks(chunks)
+        if not missing:
+            return
+        marked, joined, plain, odd = [], [], set(), []
+        heads: set[str] = set()
+        for c in missing:
+            if len(c) > _LONG:
+                memory.long.add(c)
+            if c.isalpha():
+                plain.add(c)
+            elif c[-1:] in self.mark and (m := _MARKED.fullmatch(c)):
+                marked.append((c, *m.groups()))
+            elif self.mode == "blank" and c.count("\n") == 1 and 0 < c.index("\n") < len(c) - 1 and len(_SPACE.findall(c)) == 1:
+                a, b = c.split("\n")
+                joined.append((c, a, b))
+                heads.add(b)
+            elif c == "" or "\0" in c or _SPACE.search(c):
+                odd.append(c)
+            else:
+                plain.add(c)
+        # What composed chunks are made of comes first.
+        bases = {x[1] for x in marked}
+        if joined:
+            self._learn(memory, {a for _, a, _ in joined}, before)
+            self._learn(self.head, heads, "")
+        need = list(memory.lacks(bases) | memory.lacks(plain))
+        for k in range(0, len(need), 50_000):
+            some = need[k : k + 50_000]
+            memory.new.update(zip(some, self._many([before + x for x in some]), strict=True))
+        memory.new.update(zip(odd, self._ids([before + x for x in odd]), strict=True))
+        new = memory.new
+        for c, word, mark in marked:
+            new[c] = new[word] + self.mark[mark]
+        for c, a, b in joined:
+            new[c] = new[a] + self.mark["\n"] + self.head.new[b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -62,17 +129,32 @@ class ChunkEncoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
+        if not rest:
+            return out  # type: ignore[return-value]
         if self.mode == "word":
-            cut = [texts[i].replace("\n", " ").split(" ") for i in rest]
-            known = self._learn(self.later, set().union(*cut), "")
-            for i, chunks in zip(rest, cut, strict=True):
-                out[i] = b"".join(map(known.__getitem__, chunks))
-        elif rest:
+            cut = [(texts[i].lower() if texts[i].isascii() else texts[i]).replace("\n", " ").split(" ") for i in rest]
+            heads = [b""] * len(rest)
+        else:
             cut = [texts[i].split(" ") for i in rest]
-            heads = self._learn(self.first, {x[0] for x in cut}, "")
-            known = self._learn(self.later, set().union(*(x[1:] for x in cut)), " ")
-            for i, chunks in zip(rest, cut, strict=True):
-                out[i] = heads[chunks[0]] + b"".join(map(known.__getitem__, chunks[1:]))
+            first = [x.pop(0) for x in cut]
+            self._learn(self.head, set(first), "")
+            heads = [self.head.new[x] for x in first]
+        # Most chunks are known: one look for each, and another for those that weren't.
+        get, unknown, gaps = self.later.new.get, set(), []
+        found = [list(map(get, x)) for x in cut]
+        for chunks, ids in zip(cut, found, strict=True):
+            if None in ids:
+                gaps.append((chunks, ids, [j for j, x in enumerate(ids) if x is None]))
+                unknown.update([chunks[j] for j in gaps[-1][2]])
+        self._learn(self.later, unknown, " " if self.mode == "blank" else "")
+        new = self.later.new
+        for chunks, ids, places in gaps:
+            for j in places:
+                ids[j] = new[chunks[j]]
+        for i, head, x in zip(rest, heads, found, strict=True):
+            out[i] = head + b"".join(x)
+        for memory in {id(m): m for m in (self.head, self.later)}.values():
+            memory.turn()
         return out  # type: ignore[return-value]
 
 
