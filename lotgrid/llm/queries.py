@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, token_store
+from . import exact_dedup, langid, minhash, mixing, packing, quality, token_store, toxicity
 from .scratch import fresh_path
 from .text import crc_mod
 
@@ -29,10 +29,22 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod(F.col("doc_id"), 5) == 0
+    scored = toxicity.train(docs, labels, ~held_out).score(docs)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.assess(docs, quality.train(docs, labels))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     held_out = crc_mod(F.col("doc_id"), 4) == 2
@@ -55,7 +67,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_toxicity": op2_toxicity,
     "op4_minhash": op4_minhash,
+    "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
