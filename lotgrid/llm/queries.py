@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash, mixing, packing, quality, token_store, toxicity
+from . import exact_dedup, html_crf, langid, minhash, mixing, packing, pii, quality, token_store, toxicity
 from .scratch import fresh_path
 from .text import crc_mod
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_docs(spark, sf_dir), width=2, percent=80)
 
@@ -61,6 +65,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir)).drop("uid")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.default_model(spark).find(_docs(spark, sf_dir))
+    counts = [F.expr(f"CAST(size(filter(base, c -> c.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, base, pii.joined(F.expr(pii.all_spans("base", "added"))).alias("spans"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_docs(spark, sf_dir)).drop("uid")
 
@@ -68,11 +79,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_toxicity": op2_toxicity,
+    "op3_html": op3_html,
     "op4_minhash": op4_minhash,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_mixing": op10_mixing,
 }
 
