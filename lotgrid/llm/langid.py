@@ -99,6 +99,17 @@ class LanguageModel:
     languages: list[str]
     prototypes: np.ndarray
 
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text, in the process that calls it."""
+        names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if self.languages and texts:
+            vectors = _trigrams().texts(texts)
+            cosines = (vectors @ self.prototypes.T).astype(np.float64)
+            top, known = cosines.argmax(axis=1), np.abs(vectors).sum(axis=1) > 0
+            names = [self.languages[k] if ok else UNKNOWN for k, ok in zip(top, known, strict=True)]
+            best = np.where(known, np.clip(cosines[np.arange(len(top)), top], 0, 1), 0)
+        return names, best
+
     def predict(self, docs: DataFrame) -> DataFrame:
         """doc_id, lang_pred, score (cosine with the prototype, 0 at least) for each row of docs.
 
@@ -106,29 +117,27 @@ class LanguageModel:
         cosines the language first by code point wins. Repeated rows are each scored; other columns aren't read.
         """
         small_batches(docs.sparkSession)
-        languages, prototypes = self.languages, self.prototypes
+        model = LanguageModel(self.languages, self.prototypes)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                vectors = _trigrams().texts(texts)
-                names, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                if languages and texts:
-                    cosines = (vectors @ prototypes.T).astype(np.float64)
-                    top = cosines.argmax(axis=1)
-                    known = np.abs(vectors).sum(axis=1) > 0
-                    names = [languages[k] if ok else UNKNOWN for k, ok in zip(top, known, strict=True)]
-                    best = np.where(known, np.clip(cosines[np.arange(len(top)), top], 0, 1), 0)
-                yield pa.record_batch([b.column("doc_id"), pa.array(names), pa.array(best)], ["doc_id", "lang_pred", "score"])
+                names, best = model.judge([x or "" for x in b.column("text").to_pylist()])
+                yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(best)], ["doc_id", "lang_pred", "score"])
 
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         return rows.mapInArrow(score, "doc_id long, lang_pred string, score double")
 
     def accepted(self, docs: DataFrame) -> DataFrame:
-        """docs without the rows whose language is 'und'; the columns stay as they are."""
+        """docs without the rows whose predicted language is 'und'; the columns stay as they are."""
         small_batches(docs.sparkSession)
-        letters = "(?s).*\\p{L}.*"
-        return docs.where(F.col("text").rlike(letters)) if self.languages else docs.limit(0)
+        model = LanguageModel(self.languages, self.prototypes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                names, _ = model.judge([x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
+                yield b.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
 
 
 def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH) -> LanguageModel:
