@@ -19,7 +19,7 @@ from .sampling import labelled_texts
 from .scratch import small_batches
 
 #: Labelled texts of each label that the classifier is fitted on, chosen by a hash of the id.
-TRAIN_EACH = 1500
+TRAIN_EACH = 1000
 ORDERS, BITS = (4, 6, 8), 22
 #: A feature is used if its shares in the two labels differ by so many standard deviations.
 SIGNIFICANT = 4.0
@@ -99,19 +99,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, steps: int = 80
     size = 1 << bits
     if len(set(y.tolist())) < 2:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), 0.0 if not len(y) else (20.0 if y[0] else -20.0))
-    at, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    toxic = y[at] > 0
-    have = [np.bincount(feature[toxic == k], minlength=size) for k in (False, True)]
+    have = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
+    for r, label in zip(rows, y, strict=True):  # a text's features are distinct
+        have[int(label > 0)][r] += 1
     n = [(y == 0).sum(), (y == 1).sum()]
-    shares = [(h + 1) / (k + 2) for h, k in zip(have, n, strict=True)]
-    ratio = np.log(shares[1] / shares[0])
-    pooled = (have[0] + have[1] + 1) / (len(y) + 2)
+    some = np.flatnonzero(have[0] + have[1] >= 5)
+    counts = [h[some].astype(float) for h in have]
+    shares = [(h + 1) / (k + 2) for h, k in zip(counts, n, strict=True)]
+    pooled = (counts[0] + counts[1] + 1) / (len(y) + 2)
     apart = np.abs(shares[1] - shares[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    chosen = np.flatnonzero((apart > SIGNIFICANT) & (have[0] + have[1] >= 5))
-    place = np.full(size, -1)
+    chosen, ratio = some[apart > SIGNIFICANT], np.log(shares[1] / shares[0])[apart > SIGNIFICANT]
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[feature] >= 0
-    at, feature, ratio = at[use], place[feature[use]], ratio[chosen]
+    kept = [(p := place[r])[p >= 0] for r in rows]
+    at, feature = np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.concatenate(kept)
     scale = ratio[feature]
     size = len(chosen)
     w, bias = np.zeros(size), 0.0
@@ -153,4 +154,4 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, each:
 
     rows = chosen.select("doc_id", "label", "text").mapInArrow(features, "doc_id long, label int, x binary").collect()
     rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.x)))
-    return fit([np.frombuffer(bytes(r.x), "<u4").astype(np.int64) for r in rows], np.array([r.label for r in rows], float))
+    return fit([np.frombuffer(r.x, "<u4") for r in rows], np.array([r.label for r in rows], float))
