@@ -30,11 +30,11 @@ def local_to_global(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y
     return {"x0": c("col_off") + c(x0), "y0": c("row_off") + c(y0), "x1": c("col_off") + c(x1), "y1": c("row_off") + c(y1)}
 
 
-def pixel_to_normalised(tile: float) -> dict[str, Column]:
-    """Corners in tile pixels to normalised centre and size, 6 decimals."""
+def pixel_to_normalised(tile: float, digits: int | None = 6) -> dict[str, Column]:
+    """Corners in tile pixels to normalised centre and size, rounded for text output unless digits is None."""
     c = F.col
     values = {"cx": (c("x0") + c("x1")) / 2 / tile, "cy": (c("y0") + c("y1")) / 2 / tile, "w": (c("x1") - c("x0")) / tile, "h": (c("y1") - c("y0")) / tile}
-    return {k: F.round(v, 6) for k, v in values.items()}
+    return values if digits is None else {k: F.round(v, digits) for k, v in values.items()}
 
 
 def point_box(x: Column, y: Column, tile_w: int, tile_h: int, box: int) -> dict[str, Column]:

@@ -23,7 +23,7 @@ def boxes_local(s: SparkSession, d: str) -> DataFrame:
 
 
 def boxes_renormalised(s: SparkSession, d: str) -> DataFrame:
-    return boxes_local(s, d).select("site", "ord", *[c.alias(k) for k, c in geometry.pixel_to_normalised(640).items()])
+    return boxes_local(s, d).select("site", "ord", *[c.alias(k) for k, c in geometry.pixel_to_normalised(640, None).items()])
 
 
 def iou_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ ORACLE = {
     "boxes_global": f"WITH {sql.G} SELECT site, tile, ord, x0, y0, x1, y1 FROM g",
     "boxes_local": f"WITH {sql.TI}, {sql.BX} SELECT site, tile, ord, cx * width - w * width / 2 AS x0, cy * height - h * height / 2 AS y0, cx * width + w * width / 2 AS x1, cy * height + h * height / 2 AS y1 FROM bx JOIN ti USING (site, tile)",
     "boxes_renormalised": f"""WITH {sql.BX}, l AS (SELECT site, ord, cx * 640 - w * 640 / 2 AS x0, cy * 640 - h * 640 / 2 AS y0, cx * 640 + w * 640 / 2 AS x1, cy * 640 + h * 640 / 2 AS y1 FROM bx)
-        SELECT site, ord, round((x0 + x1) / 2 / 640, 6) AS cx, round((y0 + y1) / 2 / 640, 6) AS cy, round((x1 - x0) / 640, 6) AS w, round((y1 - y0) / 640, 6) AS h FROM l""",
+        SELECT site, ord, (x0 + x1) / 2 / 640 AS cx, (y0 + y1) / 2 / 640 AS cy, (x1 - x0) / 640 AS w, (y1 - y0) / 640 AS h FROM l""",
     "iou_pairs": f"WITH {sql.G} SELECT a.site, a.ord AS a_ord, b.ord AS b_ord, round({sql.iou('a', 'b')}, 9) AS iou FROM g a JOIN g b ON a.site = b.site AND b.ord < a.ord AND a.tile <> b.tile WHERE {sql.iou('a', 'b')} >= 0.5",
     "seam_dedup_counts": f"WITH RECURSIVE {sql.G}, {sql.keep('g')} {_COUNTS}",
     "seam_dedup_keep": f"WITH RECURSIVE {sql.G}, {sql.keep('g')} SELECT site, ord, tile FROM kept JOIN g USING (site, ord)",

@@ -24,12 +24,12 @@ def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised boxes in their order within the site."""
     l = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_suppkey").orderBy((F.col("l_linenumber") % 4), "l_orderkey", "l_linenumber", "l_partkey")
+    order = Window.partitionBy("l_suppkey").orderBy((F.col("l_linenumber") % 4), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     q = F.col("l_quantity").cast("int")
     return l.select(
         F.col("l_suppkey").cast("int").alias("site"), (F.col("l_linenumber") % 4).alias("tile"),
         (((F.col("l_partkey") * 37 + F.col("l_orderkey") * 11) % 128) / F.lit(640.0)).alias("cx"), (((F.col("l_partkey") * 53 + F.col("l_orderkey") * 29) % 128) / F.lit(640.0)).alias("cy"),
-        ((16 + q % 10) / F.lit(640.0)).alias("w"), ((16 + q % 7) / F.lit(640.0)).alias("h"), F.row_number().over(order).alias("ord"),
+        ((16 + q % 10) / F.lit(640.0)).alias("w"), ((16 + q % 7) / F.lit(640.0)).alias("h"), F.row_number().over(order).cast("long").alias("ord"),
         ((F.col("l_partkey") * 31 % 1000) / F.lit(1000.0)).alias("score"), (F.col("l_orderkey") % 7 - 3).alias("jit"), q.alias("q"), F.col("l_returnflag").alias("flag"),
     )
 
