@@ -1,9 +1,11 @@
 """Token ids by a tokenizer file, with a bounded memory of chunks met before.
 
-Both kinds of tokenizer that are told apart here never join characters over a blank, so a text can be cut at blanks, and
-each chunk's ids can be remembered. A word followed by a full stop or comma, or joined to the next by a line feed, is put
-together from its parts, which the tokenizers' patterns keep apart too. Texts for which that doesn't hold are encoded
-whole; tokenizers of other kinds encode whole texts only.
+Both kinds of tokenizer that are told apart here never join characters over a blank, so texts can be cut at blanks. A
+batch's chunks are numbered by a hash table outside Python; only chunks that are new to the batch are looked up, and only
+those new to the process are encoded: a word of Latin letters by the tokenizer's model (its normaliser and
+pre-tokenizer leave such a word whole), a word with a full stop or comma, or joined to the next by a line feed, from its
+parts, which the tokenizers' patterns keep apart too. Texts for which that doesn't hold are encoded whole; tokenizers of
+other kinds encode whole texts only.
 """
 
 from __future__ import annotations
@@ -14,38 +16,23 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Two white-space characters around a blank, or two blanks: the byte-level pattern looks ahead over them.
-_RUNS = re.compile(r"  |\s \s")
-#: Latin letters, then one mark.
-_MARKED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,])")
+#: White space around a blank, or two blanks: the byte-level pattern looks ahead over them. NUL marks first chunks.
+_SPACES = r"(?:\pZ|[\x09-\x0d\x1c-\x1f\x{85}])"
+_ODD = rf"  |{_SPACES} {_SPACES}|\x00"
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SPACE = re.compile(r"\s")
 #: Longer chunks aren't remembered.
 _LONG = 48
-_SPACE = re.compile(r"\s")
-
 
-class _Memory:
-    """ids by chunk, in two generations: what was used since the last change of generation outlives the next."""
-
-    def __init__(self, entries: int):
-        self.entries, self.new, self.old, self.long = entries, {}, {}, set()
 
-    def lacks(self, chunks: set[str]) -> set[str]:
-        """Which of chunks aren't known; the known ones are in `new` afterwards."""
-        missing = chunks.difference(self.new)
-        if self.old:
-            again = {k: self.old[k] for k in missing if k in self.old}
-            self.new.update(again)
-            missing.difference_update(again)
-        return missing
-
-    def turn(self) -> None:
-        """Between batches: begin a new generation when this one is full; chunks too long to keep go at once."""
-        for k in self.long:
-            self.new.pop(k, None)
-        self.long.clear()
-        if len(self.new) > self.entries:
-            self.old, self.new = self.new, {}
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class ChunkEncoder:
@@ -59,103 +46,98 @@ class ChunkEncoder:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model, self.letters = self.tok.model, _byte_letters()
         first, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         parts = [x.get("type") for x in first.get("normalizers", [])]
-        if not first and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-            self.mode, self.stop = "blank", "\n"  # a blank goes with the word after it
-        elif parts == ["NFC", "Replace", "Lowercase"] and pre.get("pretokenizers", [{}])[0].get("behavior") == "Removed":
-            self.mode, self.stop = "word", " \0 "  # blanks are dropped
+        bpe = spec.get("model", {}).get("type") == "BPE" and not spec["model"].get("dropout")
+        if bpe and not first and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
+            self.mode = "blank"  # a blank goes with the word after it
+        elif bpe and parts == ["NFC", "Replace", "Lowercase"] and pre.get("pretokenizers", [{}])[0].get("behavior") == "Removed":
+            self.mode = "word"  # blanks are dropped
         else:
-            self.mode, self.stop = "whole", "\n"
-        self.stop_id = self.tok.encode(self.stop.strip(" "), add_special_tokens=False).ids
-        self.head = _Memory(entries)  # chunks at the start of a text or line
-        self.later = _Memory(entries) if self.mode == "blank" else self.head  # chunks after a blank
+            self.mode = "whole"
+        #: ids by chunk, in two generations; a chunk without a blank before it is marked by NUL if that matters.
+        self.entries, self.new, self.old, self.long = entries, {}, {}, set()
         self.mark = {m: self._ids([m])[0] for m in ".,\n"}
+        self.bytes_of = [np.array([k], "<u4").tobytes() for k in range(self.tok.get_vocab_size() + 1)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _many(self, chunks: list[str]) -> list[bytes]:
-        """ids of chunks without white space inside (a blank may come first), by one call with stops between them."""
-        if len(self.stop_id) != 1:
-            return self._ids(chunks)
-        ids = np.array(self.tok.encode_batch_fast([self.stop.join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.stop_id[0])
-        if len(ends) != len(chunks) - 1:
-            return self._ids(chunks)
-        raw, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-        return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
-
-    def _learn(self, memory: _Memory, chunks: set[str], before: str) -> None:
-        missing = memory.lacks(chunks)
-        if not missing:
-            return
-        marked, joined, plain, odd = [], [], set(), []
-        heads: set[str] = set()
-        for c in missing:
-            if len(c) > _LONG:
-                memory.long.add(c)
-            if c.isalpha():
-                plain.add(c)
-            elif c[-1:] in self.mark and (m := _MARKED.fullmatch(c)):
-                marked.append((c, *m.groups()))
-            elif self.mode == "blank" and c.count("\n") == 1 and 0 < c.index("\n") < len(c) - 1 and len(_SPACE.findall(c)) == 1:
-                a, b = c.split("\n")
-                joined.append((c, a, b))
-                heads.add(b)
-            elif c == "" or "\0" in c or _SPACE.search(c):
-                odd.append(c)
-            else:
-                plain.add(c)
-        # What composed chunks are made of comes first.
-        bases = {x[1] for x in marked}
-        if joined:
-            self._learn(memory, {a for _, a, _ in joined}, before)
-            self._learn(self.head, heads, "")
-        need = list(memory.lacks(bases) | memory.lacks(plain))
-        for k in range(0, len(need), 50_000):
-            some = need[k : k + 50_000]
-            memory.new.update(zip(some, self._many([before + x for x in some]), strict=True))
-        memory.new.update(zip(odd, self._ids([before + x for x in odd]), strict=True))
-        new = memory.new
-        for c, word, mark in marked:
-            new[c] = new[word] + self.mark[mark]
-        for c, a, b in joined:
-            new[c] = new[a] + self.mark["\n"] + self.head.new[b]
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _word(self, word: str, blank: bool) -> bytes:
+        """ids of a word of Latin letters, as the pre-tokenizer would hand it to the model."""
+        if self.mode == "word":
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.model.tokenize("Ġ" + word if blank else word)])
+
+    def _know(self, chunk: str) -> bytes:
+        """ids of one chunk, remembered."""
+        ids = self.new.get(chunk)
+        if ids is None:
+            ids = self.old.get(chunk)
+            if ids is None:
+                ids = self._make(chunk)
+            self.new[chunk] = ids
+            if len(chunk) > _LONG:
+                self.long.add(chunk)
+        return ids
+
+    def _make(self, chunk: str) -> bytes:
+        first = chunk[:1] == "\0"
+        body, blank = (chunk[1:] if first else chunk), self.mode == "blank" and not first
+        if _WORD.fullmatch(body):
+            return self._word(body, blank)
+        if body[-1:] in (".", ",") and _WORD.fullmatch(body, 0, len(body) - 1):
+            return self._know(chunk[:-1]) + self.mark[body[-1]]
+        if self.mode == "blank" and body.count("\n") == 1 and 0 < body.index("\n") < len(body) - 1 and len(_SPACE.findall(body)) == 1:
+            a, b = body.split("\n")
+            return self._know("\0" * first + a) + self.mark["\n"] + self._know("\0" + b)
+        return self._ids([" " + body if blank else body])[0]
+
+    def _turn(self) -> None:
+        """Begin a new generation when this one is full; chunks too long to keep go at once."""
+        for k in self.long:
+            self.new.pop(k, None)
+        self.long.clear()
+        if len(self.new) > self.entries:
+            self.old, self.new = self.new, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.mode == "whole" or self.mode == "blank" and _RUNS.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        if not rest:
-            return out  # type: ignore[return-value]
+        if self.mode == "whole" or not texts:
+            return self._ids(texts)
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD)
         if self.mode == "word":
-            cut = [(texts[i].lower() if texts[i].isascii() else texts[i]).replace("\n", " ").split(" ") for i in rest]
-            heads = [b""] * len(rest)
+            column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
+            column = pc.replace_substring(column, "\n", " ")
         else:
-            cut = [texts[i].split(" ") for i in rest]
-            first = [x.pop(0) for x in cut]
-            self._learn(self.head, set(first), "")
-            heads = [self.head.new[x] for x in first]
-        # Most chunks are known: one look for each, and another for those that weren't.
-        get, unknown, gaps = self.later.new.get, set(), []
-        found = [list(map(get, x)) for x in cut]
-        for chunks, ids in zip(cut, found, strict=True):
-            if None in ids:
-                gaps.append((chunks, ids, [j for j, x in enumerate(ids) if x is None]))
-                unknown.update([chunks[j] for j in gaps[-1][2]])
-        self._learn(self.later, unknown, " " if self.mode == "blank" else "")
-        new = self.later.new
-        for chunks, ids, places in gaps:
-            for j in places:
-                ids[j] = new[chunks[j]]
-        for i, head, x in zip(rest, heads, found, strict=True):
-            out[i] = head + b"".join(x)
-        for memory in {id(m): m for m in (self.head, self.later)}.values():
-            memory.turn()
-        return out  # type: ignore[return-value]
+            column = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), column, pa.scalar("", pa.large_string()))
+        rest = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+        out: list[bytes] = [b""] * len(texts)
+        if len(rest):
+            cut = pc.split_pattern(column.take(pa.array(rest)), " ")
+            ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+            numbered = cut.flatten().dictionary_encode()
+            new, know = self.new, self._know
+            ids = [new[c] if c in new else know(c) for c in numbered.dictionary.to_pylist()]
+            pool = np.frombuffer(b"".join(ids), "<u4")
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            starts = np.cumsum(sizes) - sizes
+            place = numbered.indices.to_numpy()
+            size = sizes[place]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            flat = pool[np.repeat(starts[place] - upto[:-1], size) + np.arange(upto[-1])]
+            raw, bounds = flat.tobytes(), (4 * upto[ends]).tolist()
+            for k, i in enumerate(rest.tolist()):
+                out[i] = raw[bounds[k] : bounds[k + 1]]
+        whole = [i for i, x in enumerate(odd.to_pylist()) if x]
+        for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = x
+        self._turn()
+        return out
 
 
 @cache
