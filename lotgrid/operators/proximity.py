@@ -46,7 +46,7 @@ def mean_rank(keys: list[str], column: str) -> Column:
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation by key as rho; null below three rows or without variance."""
     ranked = rows.withColumns({"_x": mean_rank(keys, x), "_y": mean_rank(keys, y)})
-    agg = ranked.groupBy(*keys).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("_n"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    agg = ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))).alias("rho"), F.count("*").alias("_n"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
     ok = (F.col("_n") >= 3) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
     return agg.select(*keys, F.when(ok, F.col("rho")).alias("rho"))
 

@@ -82,7 +82,7 @@ def write_geopackage(path: str, layers: dict[str, tuple[str, list[str], list[tup
     db.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT, identifier TEXT, description TEXT, last_change TEXT, min_x REAL, min_y REAL, max_x REAL, max_y REAL, srs_id INTEGER)")
     db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z INTEGER, m INTEGER)")
     for name, (kind, columns, rows) in layers.items():
-        db.execute(f'CREATE TABLE "{name}" (fid INTEGER PRIMARY KEY, geom BLOB, ' + ", ".join(f'"{c}"' for c in columns) + ")")
+        db.execute(f'CREATE TABLE "{name}" (fid INTEGER PRIMARY KEY, geom BLOB' + "".join(f', "{c}"' for c in columns) + ")")
         db.execute("INSERT INTO gpkg_contents (table_name, data_type, identifier, srs_id) VALUES (?, 'features', ?, ?)", (name, name, srs))
         db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', ?, ?, 0, 0)", (name, kind.upper(), srs))
         db.executemany(f'INSERT INTO "{name}" VALUES (NULL, ?' + ", ?" * len(columns) + ")", [(_blob(kind, r[-1], srs), *r[:-1]) for r in rows])
