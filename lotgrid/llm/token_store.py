@@ -80,7 +80,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_content_size=True)
+        shared = zstandard.ZstdCompressionDict(raw) if raw else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else each document digests the dictionary again
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids: list = []
         counts: list[int] = []
@@ -90,7 +93,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, held
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])]).tolist()
-            row = [part, seq, key, ids[0], ids[-1], len(ids), sum(counts), before, list(ids), list(counts), offsets, b"".join(frames)]
+            row = [part, seq, key, next((x for x in ids if x is not None), None), ids[-1], len(ids), sum(counts), before, list(ids), list(counts), offsets, b"".join(frames)]
             types = [pa.int32(), *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 2, *[pa.list_(pa.int64())] * 3, pa.binary()]
             out = pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
             seq, before, held = seq + 1, before + sum(counts), 0
