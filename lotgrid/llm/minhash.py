@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import small_batches, written
+from .scratch import attach, small_batches, written
 
 BINS, ROWS = 128, 4
 #: Members of a centre that one task tests at most (about).
@@ -132,8 +132,11 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """pairs (centre, member, distinct) with linked: 100 * intersection >= percent * union of the full sets."""
-    crowd = pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(crowd, "centre").select("centre", F.col("member").alias("doc_id"), F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_centre"))
+    crowd = written(pairs.groupBy("centre").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), "crowds")
+    # Only centres of several parts are joined, and spread: the pairs of a hot centre never meet in one task.
+    members = attach(pairs, crowd.where("parts > 1"), "centre", F.xxhash64("member"), "left")
+    part = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).cast("int")
+    members = members.select("centre", F.col("member").alias("doc_id"), part.alias("part"), F.lit(False).alias("is_centre"))
     centres = crowd.select("centre", F.col("centre").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_centre"))
     dealt = texts.join(members.unionByName(centres).hint("merge"), "doc_id")
     dealt = dealt.repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("is_centre"))
