@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
     row is packed, repeated rows too; a null doc_id stays null. An empty table gives no rows. Sequence ids are unique.
     """
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark, 2048)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

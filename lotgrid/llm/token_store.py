@@ -58,7 +58,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     import xxhash
 
     spark = docs.sparkSession
-    small_batches(spark, 1024)
+    small_batches(spark, 2048)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 65_536 and (end_id or 0) < 65_536 else "<u4"
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()

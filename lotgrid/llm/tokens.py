@@ -97,6 +97,28 @@ class ChunkEncoder:
             return self._know("\0" * first + a) + self.mark["\n"] + self._know("\0" + b)
         return self._ids([" " + body if blank else body])[0]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Make `new` hold the chunks. The usual kinds, words of A-Z and those with a mark, are done here without calls."""
+        new, old, of, tokenize, marks = self.new, self.old.get, self.bytes_of, self.model.tokenize, self.mark
+        blank = "Ġ" if self.mode == "blank" else ""
+        for c in chunks:
+            x = old(c)
+            if x is None:
+                word = c[:-1] if c[-1:] in (",", ".") else c
+                if word.isalpha() and word.isascii():
+                    x = None if word is c else new.get(word)
+                    if x is None:
+                        x = b"".join([of[t.id] for t in tokenize(blank + word if blank else word.lower())])
+                        if word is not c:
+                            new[word] = x
+                    if word is not c:
+                        x += marks[c[-1]]
+                else:
+                    x = self._make(c)
+            new[c] = x
+            if len(c) > _LONG:
+                self.long.add(c)
+
     def _turn(self) -> None:
         """Begin a new generation when this one is full; chunks too long to keep go at once."""
         for k in self.long:
@@ -121,8 +143,9 @@ class ChunkEncoder:
             cut = pc.split_pattern(column.take(pa.array(rest)), " ")
             ends = cut.offsets.to_numpy() - cut.offsets[0].as_py()
             numbered = cut.flatten().dictionary_encode()
-            new, know = self.new, self._know
-            ids = [new[c] if c in new else know(c) for c in numbered.dictionary.to_pylist()]
+            chunks = numbered.dictionary.to_pylist()
+            self._learn([c for c in chunks if c not in self.new])
+            ids = list(map(self.new.__getitem__, chunks))
             pool = np.frombuffer(b"".join(ids), "<u4")
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             starts = np.cumsum(sizes) - sizes
