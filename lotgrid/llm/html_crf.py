@@ -148,7 +148,7 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     Null or empty html gives an empty text; a page without tags is one block. Ids, urls and repeated rows pass as they
     are; an empty table gives no rows. Other columns aren't read.
     """
-    small_batches(pages.sparkSession, 256)
+    small_batches(pages.sparkSession)
     model = model or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,8 @@ protocol and survives lost executors:
 
 - dictionary: hash (xxhash64), dict (bytes; null if the sample was too small to train one), vocab_width;
 - shards: part, seq (place in ascending doc_id order), dict_hash, first_doc, last_doc, n_docs, n_tokens, tokens_before
-  (in its part), doc_ids, counts (tokens), offsets (bytes, one more than documents) and payload: one zstandard frame a
-  document, of its ids as little-endian unsigned integers of vocab_width bytes.
+  (in its part), doc_ids, token_offsets and offsets (tokens and bytes before each document, and of all) and payload: one
+  zstandard frame a document, of its ids as little-endian unsigned integers of vocab_width bytes.
 
 One document is read by pushing its id to first_doc/last_doc and decompressing its frame alone.
 """
@@ -31,7 +31,7 @@ SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 2048, 64 * 1024
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 4096
 LEVEL = 3
 
-SHARD = "part int, seq long, dict_hash long, first_doc long, last_doc long, n_docs int, n_tokens long, tokens_before long, doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, payload binary"
+SHARD = "part int, seq long, dict_hash long, first_doc long, last_doc long, n_docs int, n_tokens long, tokens_before long, doc_ids array<bigint>, token_offsets array<bigint>, offsets array<bigint>, payload binary"
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -58,7 +58,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     import xxhash
 
     spark = docs.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 65_536 and (end_id or 0) < 65_536 else "<u4"
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -92,8 +92,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, held
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in frames])]).tolist()
-            row = [part, seq, key, next((x for x in ids if x is not None), None), ids[-1], len(ids), sum(counts), before, list(ids), list(counts), offsets, b"".join(frames)]
+            offsets, tokens = (np.concatenate([[0], np.cumsum(n)]).tolist() for n in ([len(x) for x in frames], counts))
+            row = [part, seq, key, next((x for x in ids if x is not None), None), ids[-1], len(ids), sum(counts), before, list(ids), tokens, offsets, b"".join(frames)]
             types = [pa.int32(), *[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 2, *[pa.list_(pa.int64())] * 3, pa.binary()]
             out = pa.record_batch([pa.array([x], t) for x, t in zip(row, types, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
             seq, before, held = seq + 1, before + sum(counts), 0
@@ -133,33 +133,28 @@ class TokenStore:
 
         only: read these documents alone, their shards by pushed-down ranges, their frames by offset.
         """
-        small_batches(self.spark, 16)
+        small_batches(self.spark)
         table, raw, key, width = self.shards(), self.raw, self.key, self.width
-        wanted = None if only is None else frozenset(only)
         if only is not None:
             some = F.lit(False)
             for x in only:
                 some = some | (F.col("first_doc") <= x) & (F.col("last_doc") >= x)
             table = table.where(some)
+        # Frames are cut out inside the JVM, so that Python sees documents, never whole shards.
+        cut = """transform(sequence(0, n_docs - 1), i -> named_struct('doc_id', doc_ids[i], 'start', base + token_offsets[i], 'n_tokens', token_offsets[i + 1] - token_offsets[i],
+          'frame', substring(payload, CAST(offsets[i] + 1 AS INT), CAST(offsets[i + 1] - offsets[i] AS INT))))"""
+        frames = table.select("dict_hash", F.explode(F.expr(cut)).alias("d")).select("dict_hash", "d.*")
+        if only is not None:
+            frames = frames.where(F.col("doc_id").isin(*only))
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
             opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
             for b in batches:
-                for row in b.to_pylist():
-                    if row["dict_hash"] != key:
-                        raise ValueError(f"shard {row['part']}/{row['seq']} was written with another dictionary")
-                    starts = row["base"] + np.concatenate([[0], np.cumsum(row["counts"])])
-                    out = []
-                    for i, doc in enumerate(row["doc_ids"]):
-                        if wanted is None or doc in wanted:
-                            own = opener.decompress(row["payload"][row["offsets"][i] : row["offsets"][i + 1]])
-                            ids = np.frombuffer(own, f"<u{width}").astype("<u4")
-                            out.append((doc, int(starts[i]), len(ids), ids.tobytes()))
-                    for k in range(0, len(out), 256):
-                        cols = list(zip(*out[k : k + 256], strict=True))
-                        yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-        needed = table.select("part", "seq", "dict_hash", "base", "doc_ids", "counts", "offsets", "payload")
-        return needed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+                if any(x != key for x in b.column("dict_hash").unique().to_pylist()):
+                    raise ValueError("a shard was written with another dictionary")
+                ids = [np.frombuffer(opener.decompress(x), f"<u{width}").astype("<u4").tobytes() for x in b.column("frame").to_pylist()]
+                yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+        return frames.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
