@@ -27,8 +27,8 @@ from .tokens import encoder
 #: The dictionary learns from about so many documents, chosen by a hash of their id, and so many ids of each. It only
 #: changes the size of the files, never what is read back.
 SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 1000, 2048, 64 * 1024
-#: A shard ends at so many bytes or documents.
-SHARD_BYTES, SHARD_DOCS = 4 << 20, 4096
+#: A shard ends at so many bytes or documents; a batch of shards that a reader gets is small then.
+SHARD_BYTES, SHARD_DOCS = 64 << 10, 256
 LEVEL = 3
 
 SHARD = "part int, seq long, dict_hash long, first_doc long, last_doc long, n_docs int, n_tokens long, tokens_before long, doc_ids array<bigint>, token_offsets array<bigint>, offsets array<bigint>, payload binary"
@@ -140,21 +140,23 @@ class TokenStore:
             for x in only:
                 some = some | (F.col("first_doc") <= x) & (F.col("last_doc") >= x)
             table = table.where(some)
-        # Frames are cut out inside the JVM, so that Python sees documents, never whole shards.
-        cut = """transform(sequence(0, n_docs - 1), i -> named_struct('doc_id', doc_ids[i], 'start', base + token_offsets[i], 'n_tokens', token_offsets[i + 1] - token_offsets[i],
-          'frame', substring(payload, CAST(offsets[i] + 1 AS INT), CAST(offsets[i + 1] - offsets[i] AS INT))))"""
-        frames = table.select("dict_hash", F.explode(F.expr(cut)).alias("d")).select("dict_hash", "d.*")
-        if only is not None:
-            frames = frames.where(F.col("doc_id").isin(*only))
+        wanted = None if only is None else frozenset(only)
 
         def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import zstandard
 
             opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
             for b in batches:
-                if any(x != key for x in b.column("dict_hash").unique().to_pylist()):
-                    raise ValueError("a shard was written with another dictionary")
-                ids = [np.frombuffer(opener.decompress(x), f"<u{width}").astype("<u4").tobytes() for x in b.column("frame").to_pylist()]
-                yield pa.record_batch([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
-
-        return frames.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+                for k in range(b.num_rows):
+                    (row,) = b.slice(k, 1).to_pylist()
+                    if row["dict_hash"] != key:
+                        raise ValueError(f"shard {row['part']}/{row['seq']} was written with another dictionary")
+                    tokens, cut = row["token_offsets"], row["offsets"]
+                    use = [i for i, doc in enumerate(row["doc_ids"]) if wanted is None or doc in wanted]
+                    ids = [np.frombuffer(opener.decompress(row["payload"][cut[i] : cut[i + 1]]), f"<u{width}").astype("<u4").tobytes() for i in use]
+                    starts, sizes = [row["base"] + tokens[i] for i in use], [tokens[i + 1] - tokens[i] for i in use]
+                    columns = [pa.array([row["doc_ids"][i] for i in use], pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
+                    yield pa.record_batch(columns, ["doc_id", "start", "n_tokens", "ids"])
+
+        needed = table.select("part", "seq", "dict_hash", "base", "doc_ids", "token_offsets", "offsets", "payload")
+        return needed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
