@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import scoring, tables
+from ..functions.reproject import to_degrees, to_grid
+from ..operators import dataset, scoring, tables
 from ..sources.labels import lines_of
 from ..sources.sinks import geojson_features
 from ..streaming.events import windowed_counts
@@ -68,6 +69,25 @@ def split_folders(s: SparkSession, d: str) -> DataFrame:
     return r.where("folder IS NOT NULL")
 
 
+def dataset_manifest(s: SparkSession, d: str) -> DataFrame:
+    sites = _registry(s, d)
+    tiles = sites.select("site_id", F.explode(F.array(F.concat("site_id", F.lit("_a")), F.concat("site_id", F.lit("_check")))).alias("tile"))
+    tiles = dataset.tile_files(tiles, tiles.select("site_id", "tile", F.lit(3).alias("n_lines")))
+    return dataset.manifest(tiles, sites, ["1", "3", "5", "9"])
+
+
+def val_not_calibration(s: SparkSession, d: str) -> DataFrame:
+    return dataset.val_not_calibration(_registry(s, d), ["1", "2", "3", "4", "7"])
+
+
+def grid_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Store points on the grid and back: whether they return to within a few metres."""
+    p = _points(s, d).where("long_wgs IS NOT NULL AND lat_wgs BETWEEN 50 AND 58 AND long_wgs BETWEEN -7 AND 2").withColumns(to_grid(F.col("long_wgs"), F.col("lat_wgs")))
+    back = p.withColumns(to_degrees(F.col("x"), F.col("y")))
+    near = (F.abs(F.col("lon") - F.col("long_wgs")) < 1e-4) & (F.abs(F.col("lat") - F.col("lat_wgs")) < 1e-4)
+    return back.select("id", near.alias("returned"))
+
+
 def _points(s: SparkSession, d: str) -> DataFrame:
     """Retail points from the parts: brands as retailers, types as fascias."""
     k = F.col("p_partkey")
@@ -217,7 +237,7 @@ _SCORE = f"""{_cand('small')}, fs AS (SELECT id, retailer, CASE WHEN coalesce(re
 
 QUERIES = {
     f.__name__: f
-    for f in (assign_split, split_totals, split_overlap, split_unknown, registry_problems, size_band, size_band_corrections, split_size_counts, split_folders, coord_validity, candidate_filter, candidate_score, shortlist_topk, region_focus,
+    for f in (assign_split, split_totals, split_overlap, split_unknown, registry_problems, size_band, size_band_corrections, split_size_counts, split_folders, dataset_manifest, val_not_calibration, grid_round_trip, coord_validity, candidate_filter, candidate_score, shortlist_topk, region_focus,
               value_counts_null, crosstab_sizes, missing_summary, class_frequency, class_collapse, entrance_progress, inventory_diff, pair_ids, union_sources, first_extension, region_summary, geojson_points, label_parse, best_epoch,
               tile_colours, seeded_shuffle_split, metric_texts, events_windowed_counts)
 }
@@ -236,6 +256,10 @@ ORACLE = {
         SELECT * FROM b WHERE old_band <> new_band""",
     "split_size_counts": f"WITH {_REG} SELECT proposed_split, car_park_size_class, count(*) AS n FROM reg WHERE accepted = 'Yes' GROUP BY ALL",
     "split_folders": f"WITH {_REG} SELECT site_id, CASE proposed_split WHEN 'uk_test' THEN 'test' ELSE 'calibration' END AS folder FROM reg WHERE proposed_split <> 'TBD'",
+    "dataset_manifest": f"""WITH {_REG}, t AS (SELECT site_id, site_id || '_a' AS tile, unnest(CASE proposed_split WHEN 'uk_test' THEN ['test'] WHEN 'uk_train_calibration' THEN ['calibration', CASE WHEN site_id IN ('1', '3', '5', '9') THEN 'val' ELSE 'train' END] ELSE [] END) AS fold FROM reg)
+        SELECT *, 'images/' || fold || '/' || tile || '.png' AS image, 'labels/' || fold || '/' || tile || '.txt' AS label FROM t""",
+    "val_not_calibration": f"WITH {_REG} SELECT site_id FROM reg WHERE site_id IN ('1', '2', '3', '4', '7') AND proposed_split <> 'uk_train_calibration'",
+    "grid_round_trip": f"WITH {_PTS} SELECT id, true AS returned FROM pt WHERE lon IS NOT NULL AND lat BETWEEN 50 AND 58 AND lon BETWEEN -7 AND 2",
     "coord_validity": f"WITH {_PTS} SELECT id, coalesce(lon BETWEEN -8.5 AND 2.5 AND lat BETWEEN 49 AND 61, false) AS valid FROM pt",
     "candidate_filter": f"WITH {_cand('small|economy')} SELECT id FROM cd",
     "candidate_score": f"WITH {_SCORE} SELECT id, retailer, format_score, size_score, candidate_score FROM cs",
