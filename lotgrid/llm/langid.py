@@ -22,7 +22,7 @@ from .scratch import small_batches
 DIMS, TRAIN_EACH, SEED = 1024, 1500, 17
 UNKNOWN = "und"
 #: Texts whose vectors are made at once, trigrams whose vectors are expanded at once, trigrams remembered.
-_TEXTS, _CHUNK, _MEMORY = 64, 4096, 48_000
+_TEXTS, _CHUNK, _MEMORY = 64, 4096, 24_000
 
 
 class Trigrams:

@@ -32,7 +32,7 @@ BINS, ROWS = 128, 4
 MEMBERS = 256
 #: Queries that a task holds at most (about), and members that stream past them.
 QUERIES, STREAM = 256, 512
-_MEMORY = 400_000
+_MEMORY = 200_000
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 

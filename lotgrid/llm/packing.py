@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import fresh_path, small_batches
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 WINDOW, OPEN, MERGE = 1024, 16, 64
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, packer, n, rows = TaskContext.get().partitionId(), Packer(window, keep), 0, []
-        for b in batches:
+        for b in gathered(batches):
             texts = [x or "" for x in b.column("text").to_pylist()]
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts), strict=True):
                 for w in packer.add(doc, ids + tail):

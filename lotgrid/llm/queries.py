@@ -89,7 +89,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+#: Near-duplicates by prefix filtering: of two similar sets the rarest fifth of the shingles share one.
+_NEAR = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) < 2 THEN a ELSE list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) END) AS sh FROM w),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  f AS MATERIALIZED (SELECT sh, count(*) AS df FROM s GROUP BY sh),
+  r AS MATERIALIZED (SELECT s.doc_id, s.sh, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY df, s.sh) AS k FROM s JOIN f USING (sh) JOIN n USING (doc_id)),
+  p AS MATERIALIZED (SELECT doc_id, sh, n FROM r WHERE k <= n - ceil(0.8 * n) + 1),
+  c AS MATERIALIZED (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v, x.n AS un, y.n AS vn FROM p x JOIN p y ON x.sh = y.sh AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)),
+  l AS MATERIALIZED (SELECT u, v FROM c JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v AND b.sh = a.sh GROUP BY u, v, un, vn HAVING 100 * count(*) >= 80 * (un + vn - count(*))),
+  e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+  t AS (SELECT doc_id, doc_id AS hop FROM n UNION SELECT t.doc_id, e.v FROM t JOIN e ON e.u = t.hop),
+  g AS (SELECT doc_id, min(hop) AS component_id FROM t GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(g.component_id, w.doc_id) AS component_id, w.doc_id = coalesce(g.component_id, w.doc_id) AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)"""
+
 ORACLE: dict[str, str] = {
+    "op4_minhash": _NEAR,
     "op8_exact_dedup": """
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import attach, small_batches
-from .tokens import encoder
+from .tokens import encoder, gathered
 
 #: The dictionary learns from about so many documents, chosen by a hash of their id, and so many ids of each. It only
 #: changes the size of the files, never what is read back.
@@ -100,7 +100,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
             ids.clear(), counts.clear(), frames.clear()
             return out
 
-        for b in batches:
+        for b in gathered(batches):
             for doc, x in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).encode(_texts(b)), strict=True):
                 own = narrow(x)
                 ids.append(doc), counts.append(len(own) // int(width[2])), frames.append(packer.compress(own))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -38,7 +39,7 @@ def _byte_letters() -> dict[int, int]:
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str, entries: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -163,6 +164,18 @@ class ChunkEncoder:
         return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold about `size` bytes: the larger a batch, the fewer chunks are new to it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @cache
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each file and worker process."""
