@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import claim, release
 from .sampling import per_class
 from .scratch import small_batches
 
@@ -90,10 +91,17 @@ _own: Trigrams | None = None
 def _trigrams() -> Trigrams:
     """One for each worker process."""
     global _own
-    _own = _own or Trigrams()
+    if _own is None:
+        claim("trigrams", _forget)
+        _own = Trigrams()
     return _own
 
 
+def _forget() -> None:
+    global _own
+    _own = None
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -136,6 +144,7 @@ class LanguageModel:
             for b in batches:
                 names, _ = model.judge([x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
                 yield b.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+            release()
 
         return docs.mapInArrow(run, docs.schema)
 

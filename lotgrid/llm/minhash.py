@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .memory import claim, release
 from .scratch import attach, small_batches, written
 
 BINS, ROWS = 128, 4
@@ -109,6 +110,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", _words.clear)
         signer = Signer()
         none = np.empty(0, np.int64)
         for b in batches:
@@ -122,6 +124,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 ],
                 ["doc_id", "n_shingles", "set_key", "buckets"],
             )
+        release()
 
     return _rows(docs).mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, buckets array<bigint>")
 
@@ -142,6 +145,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     dealt = dealt.repartition("centre", "part").sortWithinPartitions("centre", "part", F.desc("is_centre"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", _words.clear)
         now, own = None, []
         for b in batches:
             out = []
@@ -223,6 +227,7 @@ def remaining(texts: DataFrame, edges: DataFrame, failed: DataFrame, labels: Dat
     dealt = dealt.repartition("bucket", "block", "chunk").sortWithinPartitions("bucket", "block", "chunk", F.desc("query"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("words", _words.clear)
         now, held, index = None, [], None
         for b in batches:
             out: list[tuple[int, int]] = []

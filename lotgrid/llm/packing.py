@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import claim, release
 from .scratch import fresh_path, small_batches
 from .tokens import encoder, gathered
 
@@ -123,6 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens", encoder.cache_clear)
         part, packer, n, rows = TaskContext.get().partitionId(), Packer(window, keep), 0, []
         for b in gathered(batches):
             texts = [x or "" for x in b.column("text").to_pylist()]
@@ -138,6 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
         left = [r for k, w in enumerate(packer.open) for r in w.rows((part << 36) + n + k)]
         if left:
             yield _batch(left, [part] * len(left))
+        release()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group, part, window and place; one group is held at a time."""

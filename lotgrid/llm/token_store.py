@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memory import claim, release
 from .scratch import attach, small_batches
 from .tokens import encoder, gathered
 
@@ -80,6 +81,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        claim("tokens", encoder.cache_clear)
         shared = zstandard.ZstdCompressionDict(raw) if raw else None
         if shared:
             shared.precompute_compress(level=LEVEL)  # else each document digests the dictionary again
@@ -109,6 +111,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
                     yield flush()
         if ids:
             yield flush()
+        release()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
