@@ -73,7 +73,7 @@ def _pixels(s: SparkSession, d: str) -> DataFrame:
 
 
 def _surface(s: SparkSession, d: str, cutoff: float | None) -> DataFrame:
-    sites = table(s, d, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").cast("int").alias("site"), F.lit(192).alias("w"), F.lit(192).alias("h"))
+    sites = table(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("site"), F.lit(192).alias("w"), F.lit(192).alias("h"))
     return proximity.kde_surface(_pixels(s, d), sites, ["site"], 24, 16.0, cutoff)
 
 
