@@ -99,7 +99,7 @@ def tile_origins(s: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
-    scenes = table(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("scene"), F.lit(200).alias("width"), F.lit(180).alias("height"))
+    scenes = table(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("scene"), F.lit(200).alias("width"), F.lit(192).alias("height"))
     return tiling.windows(scenes, SIZE, STRIDE)
 
 
@@ -108,7 +108,7 @@ def scene_windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
-    return _pixels(s, d).withColumnRenamed("site", "scene").where("ord % 40 = 0")
+    return _pixels(s, d).withColumnRenamed("site", "scene")
 
 
 def points_in_tiles(s: SparkSession, d: str) -> DataFrame:

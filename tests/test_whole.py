@@ -43,3 +43,40 @@ def test_density_of_every_site(spark, pixels, sites, name):
     got = {(r.site, r.gx, r.gy): r.dens for r in places.QUERIES[name](spark, str(DATA)).collect()}
     assert got.keys() == want.keys() and {k[0] for k in got} == sites
     assert all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def windows_of(x, y):
+    return {(lft, top) for lft in (0, 48, 96, 136) for top in (0, 48, 96, 128) if lft <= x < lft + 64 and top <= y < top + 64}
+
+
+def test_every_point_lies_in_its_windows(spark, pixels):
+    want = {(s, lft, top, o, x - lft, y - top) for s, rows in pixels.items() for x, y, o, _ in rows for lft, top in windows_of(x, y)}
+    assert {(s, o) for s, _, _, o, *_ in want} == {(s, o) for s, rows in pixels.items() for _, _, o, _ in rows}
+    got = [(r.scene, r.lft, r.top, r.ord, r.local_x, r.local_y) for r in places.points_in_tiles(spark, str(DATA)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    labels = [(r.scene, r.lft, r.top, r.ord) for r in places.tile_labels(spark, str(DATA)).collect()]
+    assert sorted(labels) == sorted(x[:4] for x in want)
+
+
+def test_window_counters_of_every_point(spark, pixels, sites):
+    stats = {r.scene: r for r in places.tile_policy_stats(spark, str(DATA)).collect()}
+    sampled = defaultdict(int)
+    for r in places.seeded_negative_sample(spark, str(DATA)).collect():
+        sampled[r.scene] += 1
+    assert stats.keys() == sites
+    for site in sites:
+        cars, others = ([w for x, y, _, f in pixels[site] if f == flag for w in windows_of(x, y)] for flag in "RA")
+        positive, hard = set(cars), set(others) - set(cars)
+        empty, r = 16 - len(positive) - len(hard), stats[site]
+        assert (r.tiles_scanned, r.positive_tiles, r.hard_negative_tiles, r.pure_empty_available) == (16, len(positive), len(hard), empty)
+        assert (r.car_label_instances, r.cars_in_scene) == (len(cars), sum(f == "R" for *_, f in pixels[site]))
+        assert sampled[site] == min(round(0.5 * len(positive)), empty)
+
+
+def test_crops_count_every_point(spark, pixels):
+    want = {}
+    for site, rows in pixels.items():
+        counts = {(i, j): sum(i <= x < i + 60 and j <= y < j + 60 for x, y, *_ in rows) for i in range(0, 210, 30) for j in range(0, 210, 30)}
+        if fit := [(-n, *at) for at, n in counts.items() if 2 <= n <= 5]:
+            want[site] = min(fit)
+    assert {r.scene: (-r.n, r.wx, r.wy) for r in places.crop_search(spark, str(DATA)).collect()} == want
