@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from lotgrid.plans import places
+from lotgrid.plans import places, views
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -80,3 +80,19 @@ def test_crops_count_every_point(spark, pixels):
         if fit := [(-n, *at) for at, n in counts.items() if 2 <= n <= 5]:
             want[site] = min(fit)
     assert {r.scene: (-r.n, r.wx, r.wy) for r in places.crop_search(spark, str(DATA)).collect()} == want
+
+
+def test_every_customer_is_an_entrance(spark, sites):
+    n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    customers = [r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()]
+    targets = defaultdict(list)
+    for r in views.entrances(spark, str(DATA)).collect():
+        targets[r.site].append((r.x, r.y))
+    assert sum(map(len, targets.values())) == sum(c % n + 1 in sites for c in customers)
+    cars = {(r.site, r.ord): (r.x, r.y) for r in views.car_points(spark, str(DATA)).collect()}
+    got = {(r.site, r.ord): r.dist for r in places.nearest_entrance(spark, str(DATA)).collect()}
+    assert got.keys() == {k for k in cars if targets[k[0]]}
+    assert all(abs(d - min(math.dist(cars[k], e) for e in targets[k[0]])) < 2e-6 for k, d in got.items())
+    verdicts = {r.site: r for r in places.entrance_verdict(spark, str(DATA)).collect()}
+    assert verdicts.keys() == {k[0] for k in got} and sum(r.n_cars for r in verdicts.values()) == len(got)
+    assert places.verdict_counts(spark, str(DATA)).first().sites == len(verdicts)
