@@ -152,16 +152,26 @@ def _draws() -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
 
 
+def mixed_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
+    """The rows of mixed() in its order, with _shard, the output shard of each.
+
+    Rows and decisions meet by doc_id and the row's rank among those of its id: both are dealt together by id, once.
+    Ranges of (shard, hash) are then dealt to tasks, so that a large shard is split over several.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    plan = plan_mix(docs, shards, seed).select(key.alias("_key"), F.col("size").alias("_size"), F.col("shards").alias("_shards"), F.lit(1).alias("_side"))
+    rows = docs.withColumns({"_key": key, "_size": n_words(F.col("text")), "_side": F.lit(0)})
+    both = rows.unionByName(plan, allowMissingColumns=True)
+    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_side").orderBy("_size")))
+    both = both.withColumn("_shards", F.max("_shards").over(Window.partitionBy("_key", "_n"))).where("_side = 0")
+    out = both.select("*", F.posexplode("_shards").alias("_draw", "_shard"))
+    order = hash60(F.lit(seed), F.col("_key"), F.col("_n"), F.col("_draw"))
+    return out.orderBy("_shard", order, "_key", "_n", "_draw").select(*[F.col(f"`{c}`") for c in docs.columns], "_shard")
+
+
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs as often as plan_mix() takes it, in shards, ordered by a hash inside each.
 
-    The columns stay as they are. Rows and decisions meet by doc_id and the row's rank among those of its id.
+    The columns stay as they are.
     """
-    names = docs.columns
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy("_size"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    plan = plan_mix(docs, shards, seed).select(key.alias("_key"), F.col("size").alias("_size"), "shards")
-    plan = plan.withColumn("_n", rank).select("_key", "_n", "shards")
-    rows = docs.withColumns({"_key": key, "_size": n_words(F.col("text"))}).withColumn("_n", rank)
-    out = rows.join(plan.withColumnRenamed("shards", "_shards").hint("merge"), ["_key", "_n"])
-    return out.withColumn("_shard", F.explode("_shards")).select(*[F.col(f"`{c}`") for c in names])
+    return mixed_shards(docs, shards, seed).drop("_shard")
