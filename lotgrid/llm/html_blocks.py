@@ -13,6 +13,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PAIR = re.compile(r"""([^\s"'>/=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content isn't text of the page.
@@ -64,6 +66,15 @@ def _names(attrs: str) -> set[str]:
     return out
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether the attributes hide the element: hidden itself (but not "false"), or a style without display."""
+    for name, value in _PAIR.findall(attrs):
+        name, value = name.lower(), unescape(value.strip("\"'"))
+        if name == "hidden" and value.strip().lower() != "false" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def blocks(html: str) -> tuple[list[Block], str]:
     """The page's leaf blocks in order, empty ones left out, and its title."""
     root = _Open("", frozenset(), False, False, "")
@@ -153,7 +164,7 @@ def blocks(html: str) -> tuple[list[Block], str]:
         top = stack[-1]
         above = top.above | {tag} | _names(attrs)
         above = above if len(above) < 400 else top.above
-        hidden = tag in SKIPPED or re.search(r"(?i)\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", attrs) is not None and "overflow" not in attrs
+        hidden = tag in SKIPPED or _hidden(attrs)
         stack.append(_Open(tag, above, top.skip or hidden, top.link or tag == "a", top.block if tag in INLINE else tag))
     flush()
     return out, title
