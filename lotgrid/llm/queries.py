@@ -69,7 +69,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.default_model(spark).find(_docs(spark, sf_dir))
     counts = [F.expr(f"CAST(size(filter(base, c -> c.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, pii.joined(F.expr(pii.all_spans("base", "added"))).alias("spans"))
+    sizes = [F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, base, pii.joined(F.expr(pii.all_spans("base", "added"))).alias("spans"), *sizes)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
