@@ -43,7 +43,7 @@ GENERATORS = {
     "phone_groups": ("phone", r"(?<![0-9A-Za-z+.-])(?![0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9]))(?=\(?[0-9][\x20()./0-9-]{7})(?:\([0-9]{2,5}\)\x20?[0-9]{2,6}|[0-9]{2,5}[\x20./-]{1,2}[0-9]{2,6})(?:[\x20./-]{1,2}[0-9]{2,6}){0,5}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{2}(?:[)] ?|[ ./-]{1,2})[0-9]{2}'"),
     "phone_zero": ("phone", r"(?<![0-9A-Za-z.-])00\x20?[1-9][\x20().0-9-]{6,18}[0-9](?![0-9A-Za-z])", "{t} RLIKE '(?<![0-9])00 ?[1-9]'"),
     "phone_run": ("phone", r"(?<![0-9A-Za-z+./-])[0-9]{9,12}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{9}'"),
-    "email_spelled": ("email", r"[\p{L}0-9._%+-]{1,64}\x20?[\[({](?i:at)[\])}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({](?i:dot)[\])}]\x20?)[A-Za-z0-9-]{1,63}){1,5}", "{t} RLIKE '[(\\\\[{](?i:at)[)\\\\]}]'"),
+    "email_spelled": ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+\x20?[\[({](?i:at)[\])}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({](?i:dot)[\])}]\x20?)[A-Za-z0-9-]{1,63}){1,5}", "{t} RLIKE '[(\\\\[{](?i:at)[)\\\\]}]'"),
     "ip_six": ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|:)(?![0-9A-Za-z:])", "{t} RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f:]'"),
     "card_run": ("card", r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{13}'"),
     "card_groups": ("card", r"(?<![0-9A-Za-z.])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{3,4}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{4}[ ./_-][0-9]{4}'"),
@@ -66,7 +66,7 @@ FEATURES = (
     "generator", "digits", "length", "marks", "luhn", "own_word", "own_near", "other_near", "secret_word", "distinct", "glued", "lead",
     "upper", "lower", "groups", "hex", "separator", "quoted", "prefix", "unit", "changes", "zeros", "date", "double",
 )
-EXAMPLES, PRECISION, RECALL, WINDOW = 9000, 0.95, 0.9, 40
+EXAMPLES, PRECISION, RECALL, WINDOW, BLOCK = 9000, 0.95, 0.9, 40, 64
 
 _SPAN = "struct<s: int, k: int, e: int, m: string>"
 
@@ -96,18 +96,25 @@ def _valid(kind: str, m: str) -> str:
 
 
 def located(t: str, regex: str, needs: str, number: int, valid: str) -> str:
-    """SQL: spans (s, k, e, m) of the matches in t that pass, in code points; matches and the gaps between them alternate."""
+    """SQL: spans (s, k, e, m) of the matches in t that pass, in code points; matches and the gaps between them alternate.
+
+    A fold over BLOCK matches gives their places from the block's start; the blocks' lengths then shift them. So no array
+    grows match by match with the text.
+    """
     r = _quoted(regex)
-    return f"""CASE WHEN {needs.replace('{t}', t)} THEN
-      aggregate(
-        zip_with(regexp_extract_all({t}, {r}, 0), split({t}, {r}, -1), (x, y) -> named_struct('m', x, 'gap', y)),
-        named_struct('at', 0, 'out', CAST(array() AS ARRAY<{_SPAN}>)),
+    place = "acc.at + length(p.gap)"
+    fold = f"""aggregate(block, named_struct('at', 0, 'out', CAST(array() AS ARRAY<{_SPAN}>)),
         (acc, p) -> named_struct(
-          'at', acc.at + length(p.gap) + coalesce(length(p.m), 0),
+          'at', {place} + coalesce(length(p.m), 0),
           'out', CASE WHEN p.m IS NOT NULL AND {valid.replace('@m', 'p.m')}
-            THEN concat(acc.out, array(named_struct('s', acc.at + length(p.gap), 'k', {number}, 'e', acc.at + length(p.gap) + length(p.m), 'm', p.m)))
-            ELSE acc.out END),
-        acc -> acc.out)
+            THEN concat(acc.out, array(named_struct('s', {place}, 'k', {number}, 'e', {place} + length(p.m), 'm', p.m)))
+            ELSE acc.out END))"""
+    blocks = f"transform(sequence(0, (size(pairs) - 1) DIV {BLOCK}), i -> slice(pairs, i * {BLOCK} + 1, {BLOCK}))"
+    starts = "aggregate(folded, named_struct('at', 0, 'all', CAST(array() AS ARRAY<INT>)), (acc, f) -> named_struct('at', acc.at + f.at, 'all', concat(acc.all, array(acc.at))), acc -> acc.all)"
+    moved = f"flatten(zip_with(folded, {starts}, (f, o) -> transform(f.out, c -> named_struct('s', c.s + o, 'k', c.k, 'e', c.e + o, 'm', c.m))))"
+    return f"""CASE WHEN {needs.replace('{t}', t)} THEN
+      flatten(transform(array(zip_with(regexp_extract_all({t}, {r}, 0), split({t}, {r}, -1), (x, y) -> named_struct('m', x, 'gap', y))),
+        pairs -> flatten(transform(array(transform({blocks}, block -> {fold})), folded -> {moved}))))
     ELSE CAST(array() AS ARRAY<{_SPAN}>) END"""
 
 
@@ -143,7 +150,7 @@ def _described(t: str) -> str:
     edges = f"concat(substr({t}, greatest(1, c.s), least(1, c.s)), substr({t}, c.e + 1, 1))"
     values = {
         "generator": "c.k", "digits": f"length({d})", "length": "c.e - c.s", "marks": "length(regexp_replace(c.m, '[0-9A-Za-z]', ''))",
-        "luhn": f"IF(length({d}) > 1 AND {_luhn(d)}, 1, 0)",
+        "luhn": f"IF(length({d}) BETWEEN 2 AND 40 AND {_luhn(d)}, 1, 0)",
         "own_word": _by_kind(lambda words: _near(words, before, True)), "own_near": _by_kind(lambda words: _near(words, before)),
         "other_near": _near(OTHER_WORDS, before), "secret_word": _near(_OWN["secret"], before, True),
         "distinct": "size(array_distinct(split(lower(c.m), '')))", "glued": f"IF({edges} RLIKE '[A-Za-z0-9@#$%&*/\\\\\\\\=_]', 1, 0)",
@@ -183,8 +190,8 @@ class PiiModel:
     def find(self, docs: DataFrame) -> DataFrame:
         """doc_id, base and added (arrays of spans: start, end, kind), for each row of docs.
 
-        Null and empty texts have no spans; very long texts are searched whole, in time about linear in their length and
-        in their spans. Added spans overlap neither base spans nor each other: of candidates that overlap, the one with
+        Null and empty texts have no spans; very long texts are searched whole, in time linear in their length; only the
+        product of one text's candidates and spans counts besides. Added spans overlap neither base spans nor each other: of candidates that overlap, the one with
         the largest margin stays, then the first. Repeated rows are each searched, a null id stays null; other columns
         aren't read, whatever their names; an empty table gives no rows.
         """
