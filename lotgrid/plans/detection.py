@@ -166,7 +166,9 @@ ORACLE = {
     "boxes_local": f"WITH {sql.TI}, {sql.BX} SELECT site, tile, ord, cx * width - w * width / 2 AS x0, cy * height - h * height / 2 AS y0, cx * width + w * width / 2 AS x1, cy * height + h * height / 2 AS y1 FROM bx JOIN ti USING (site, tile)",
     "boxes_renormalised": f"""WITH {sql.BX}, l AS (SELECT site, ord, cx * 640 - w * 640 / 2 AS x0, cy * 640 - h * 640 / 2 AS y0, cx * 640 + w * 640 / 2 AS x1, cy * 640 + h * 640 / 2 AS y1 FROM bx)
         SELECT site, ord, (x0 + x1) / 2 / 640 AS cx, (y0 + y1) / 2 / 640 AS cy, (x1 - x0) / 640 AS w, (y1 - y0) / 640 AS h FROM l""",
-    "iou_pairs": f"WITH {sql.G} SELECT a.site, a.ord AS a_ord, b.ord AS b_ord, round({sql.iou('a', 'b')}, 9) AS iou FROM g a JOIN g b ON a.site = b.site AND b.ord < a.ord AND a.tile <> b.tile WHERE {sql.iou('a', 'b')} >= 0.5",
+    "iou_pairs": f"""WITH {sql.G}, h AS MATERIALIZED (SELECT *, CAST(floor((x0 + x1) / 64) AS INT) AS cx, CAST(floor((y0 + y1) / 64) AS INT) AS cy FROM g),
+        n AS (SELECT h.*, cx + i AS nx, cy + j AS ny FROM h, (VALUES (-1), (0), (1)) u(i), (VALUES (-1), (0), (1)) v(j))
+        SELECT a.site, a.ord AS a_ord, b.ord AS b_ord, round({sql.iou('a', 'b')}, 9) AS iou FROM n a JOIN h b ON a.site = b.site AND a.nx = b.cx AND a.ny = b.cy WHERE b.ord < a.ord AND a.tile <> b.tile AND {sql.iou('a', 'b')} >= 0.5""",
     "seam_dedup_counts": f"WITH RECURSIVE {sql.G}, {sql.keep('g')} {_COUNTS}",
     "seam_dedup_keep": f"WITH RECURSIVE {sql.G}, {sql.keep('g')} SELECT site, ord, tile FROM kept JOIN g USING (site, ord)",
     "dedup_tile_agnostic": f"WITH RECURSIVE {sql.G}, {sql.keep('g', 'true')} {_COUNTS}",

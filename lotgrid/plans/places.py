@@ -99,7 +99,7 @@ def tile_origins(s: SparkSession, d: str) -> DataFrame:
 
 
 def _windows(s: SparkSession, d: str) -> DataFrame:
-    scenes = table(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("scene"), F.lit(200).alias("width"), F.lit(192).alias("height"))
+    scenes = table(s, d, "supplier").select(F.col("s_suppkey").cast("int").alias("scene"), F.lit(400).alias("width"), F.lit(192).alias("height"))
     return tiling.windows(scenes, SIZE, STRIDE)
 
 
@@ -137,10 +137,10 @@ def crop_search(s: SparkSession, d: str) -> DataFrame:
 
 
 _PX = f"""{sql.G}, px AS (SELECT site, CAST(floor((x0 + x1) / 2) AS INT) AS px, CAST(floor((y0 + y1) / 2) AS INT) AS py, ord, flag FROM g)"""
-_KDE = f"""{_PX}, nd AS (SELECT CAST(s_suppkey AS INT) AS site, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy FROM supplier, range(0, 193, 24) a(gx), range(0, 193, 24) b(gy) WHERE s_suppkey % 10 = 0),
+_KDE = f"""{_PX}, nd AS (SELECT CAST(s_suppkey AS INT) AS site, CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy FROM supplier, range(0, 193, 24) a(gx), range(0, 193, 24) b(gy)),
   kd AS (SELECT site, gx, gy, (gx - px) * (gx - px) + (gy - py) * (gy - py) AS d2 FROM nd JOIN px USING (site))"""
-_WIN = f"""{_PX}, ax AS (SELECT * FROM (VALUES (0), (48), (96), (136)) v(lft)), ay AS (SELECT * FROM (VALUES (0), (48), (96), (116)) v(top)),
-  wn AS (SELECT CAST(s_suppkey AS INT) AS scene, lft, top FROM supplier, ax, ay), pt AS (SELECT site AS scene, px, py, ord, flag FROM px WHERE ord % 40 = 0),
+_WIN = f"""{_PX}, ax AS (SELECT * FROM (VALUES (0), (48), (96), (144), (192), (240), (288), (336)) v(lft)), ay AS (SELECT * FROM (VALUES (0), (48), (96), (128)) v(top)),
+  wn AS (SELECT CAST(s_suppkey AS INT) AS scene, lft, top FROM supplier, ax, ay), pt AS (SELECT site AS scene, px, py, ord, flag FROM px),
   pw AS (SELECT scene, lft, top, ord, flag, px - lft AS local_x, py - top AS local_y FROM pt JOIN wn USING (scene) WHERE px >= lft AND px < lft + 64 AND py >= top AND py < top + 64)"""
 
 QUERIES = {

@@ -22,7 +22,7 @@ O = f"""{TI}, o AS (SELECT site, ulx - col_off * pixel_size AS origin_x, uly + r
 P = f"""{G}, o AS (SELECT site, ulx - col_off * pixel_size AS origin_x, uly + row_off * pixel_size AS origin_y, pixel_size FROM ti WHERE tile = 0),
   pts AS MATERIALIZED (SELECT site, ord, origin_x + (x0 + x1) / 2 * pixel_size AS x, origin_y - (y0 + y1) / 2 * pixel_size AS y FROM g JOIN o USING (site)),
   ent AS MATERIALIZED (SELECT o.site, c_custkey AS ent, origin_x + c_custkey * 13 % 48 AS x, origin_y - c_custkey * 7 % 48 AS y
-    FROM customer JOIN o ON o.site = c_custkey % (SELECT count(*) FROM supplier) + 1 WHERE c_custkey % 3 = 0),
+    FROM customer JOIN o ON o.site = c_custkey % (SELECT count(*) FROM supplier) + 1),
   ring AS (SELECT site, k, origin_x + dx AS x, origin_y + dy AS y FROM o CROSS JOIN (VALUES (0, 0.5, -0.5), (1, 44.5, -2.5), (2, 47.5, -30.5), (3, 20.5, -47.5), (4, 1.5, -40.5), (5, 0.5, -0.5)) v(k, dx, dy)),
   edge AS MATERIALIZED (SELECT a.site, a.x::DOUBLE AS px, a.y::DOUBLE AS py, b.x::DOUBLE AS qx, b.y::DOUBLE AS qy FROM ring a JOIN ring b ON a.site = b.site AND b.k = a.k + 1),
   bound AS (SELECT site, min(x) AS lx, min(y) AS ly, max(x) AS hx, max(y) AS hy FROM ring GROUP BY site),

@@ -46,7 +46,7 @@ def test_density_of_every_site(spark, pixels, sites, name):
 
 
 def windows_of(x, y):
-    return {(lft, top) for lft in (0, 48, 96, 136) for top in (0, 48, 96, 128) if lft <= x < lft + 64 and top <= y < top + 64}
+    return {(lft, top) for lft in (0, 48, 96, 144, 192, 240, 288, 336) for top in (0, 48, 96, 128) if lft <= x < lft + 64 and top <= y < top + 64}
 
 
 def test_every_point_lies_in_its_windows(spark, pixels):
@@ -67,8 +67,8 @@ def test_window_counters_of_every_point(spark, pixels, sites):
     for site in sites:
         cars, others = ([w for x, y, _, f in pixels[site] if f == flag for w in windows_of(x, y)] for flag in "RA")
         positive, hard = set(cars), set(others) - set(cars)
-        empty, r = 16 - len(positive) - len(hard), stats[site]
-        assert (r.tiles_scanned, r.positive_tiles, r.hard_negative_tiles, r.pure_empty_available) == (16, len(positive), len(hard), empty)
+        empty, r = 32 - len(positive) - len(hard), stats[site]
+        assert (r.tiles_scanned, r.positive_tiles, r.hard_negative_tiles, r.pure_empty_available) == (32, len(positive), len(hard), empty)
         assert (r.car_label_instances, r.cars_in_scene) == (len(cars), sum(f == "R" for *_, f in pixels[site]))
         assert sampled[site] == min(round(0.5 * len(positive)), empty)
 
