@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .html_blocks import Block, blocks
 from .html_pages import MARK, labelled_pages
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Labelled pages that the field is fitted on, and gradient steps.
 TRAIN_PAGES, STEPS = 900, 250
@@ -148,11 +148,10 @@ def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     Null or empty html gives an empty text; a page without tags is one block. Ids, urls and repeated rows pass as they
     are; an empty table gives no rows. Other columns aren't read.
     """
-    small_batches(pages.sparkSession)
     model = model or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [model.text(x) for x in b.column("html").to_pylist()]
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

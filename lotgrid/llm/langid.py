@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .memory import claim, release
 from .sampling import per_class
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Dimensions; labelled texts of each language that prototypes are fitted on, chosen by a hash of the id.
 DIMS, TRAIN_EACH, SEED = 1024, 1500, 17
@@ -124,11 +124,10 @@ class LanguageModel:
         'und' with score 0 for a null text, one without a letter, and every text if no language was learned. Of equal
         cosines the language first by code point wins. Repeated rows are each scored; other columns aren't read.
         """
-        small_batches(docs.sparkSession)
         model = LanguageModel(self.languages, self.prototypes)
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 names, best = model.judge([x or "" for x in b.column("text").to_pylist()])
                 yield pa.record_batch([b.column("doc_id"), pa.array(names, pa.string()), pa.array(best)], ["doc_id", "lang_pred", "score"])
 
@@ -137,11 +136,10 @@ class LanguageModel:
 
     def accepted(self, docs: DataFrame) -> DataFrame:
         """docs without the rows whose predicted language is 'und'; the columns stay as they are."""
-        small_batches(docs.sparkSession)
         model = LanguageModel(self.languages, self.prototypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 names, _ = model.judge([x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
                 yield b.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
             release()
@@ -151,14 +149,13 @@ class LanguageModel:
 
 def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH) -> LanguageModel:
     """Prototypes from about `each` labelled texts of every language of docs (doc_id, text, lang) where keep holds."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
-    chosen, _ = per_class(rows.where(keep) if keep is not None else rows, "lang", each)
+    chosen, _ = per_class(rows.where(keep) if keep is not None else rows, "lang", each, ("doc_id", "text"))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in sliced(batches):
             vectors = _trigrams().texts([x or "" for x in b.column("text").to_pylist()])
             for lang, v in zip(b.column("lang").to_pylist(), vectors, strict=True):
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)

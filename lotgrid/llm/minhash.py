@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .memory import claim, release
-from .scratch import attach, small_batches, written
+from .scratch import attach, join_counted, sliced, spare_names, written
 
 BINS, ROWS = 128, 4
 #: Members of a centre that one task tests at most (about).
@@ -107,13 +107,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set), buckets; a row for each row of docs."""
     import xxhash
 
-    small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", _words.clear)
         signer = Signer()
         none = np.empty(0, np.int64)
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             yield pa.record_batch(
                 [
@@ -147,7 +146,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", _words.clear)
         now, own = None, []
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for centre, part, doc, first, text in zip(*(b.column(c).to_pylist() for c in ("centre", "part", "doc_id", "is_centre", "text")), strict=True):
                 s = shingle_set(text, width)
@@ -211,13 +210,14 @@ def remaining(texts: DataFrame, edges: DataFrame, failed: DataFrame, labels: Dat
     """
     spread = F.xxhash64("member")
     open_ = edges.join(failed.hint("merge"), ["centre", "member"], "left_semi").select("bucket").distinct()
-    rows = edges.join(open_.hint("merge"), "bucket", "left_semi")
+    crowd = written(edges.groupBy("bucket").agg(F.count("*").alias("n")).join(open_.hint("merge"), "bucket", "left_semi"), "open")
+    rows = join_counted(edges, crowd, "bucket", "n", edges.count())
     rows = rows.select("bucket", "member").unionByName(rows.select("bucket", F.col("centre").alias("member")).distinct())
     rows = rows.join(labels.withColumnRenamed("node", "member").hint("merge"), "member", "left").withColumn("comp", F.coalesce("label", "member"))
     rows = written(rows.select("bucket", "member", "comp"), "open-buckets")
     counts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"))
-    counts = counts.where("all > top.n").select("bucket", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM).cast("int").alias("chunks"))
-    rows = rows.join(counts, "bucket")
+    counts = counts.where("all > top.n").select("bucket", "all", F.col("top.comp").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / QUERIES).cast("int").alias("blocks"), F.ceil(F.col("all") / STREAM).cast("int").alias("chunks"))
+    rows = join_counted(rows, written(counts, "open-counts"), "bucket", "all", rows.count())
     block = F.pmod(spread, F.col("blocks")).cast("int")
     chunk = F.pmod(F.shiftright(spread, 20), F.col("chunks").cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -229,7 +229,7 @@ def remaining(texts: DataFrame, edges: DataFrame, failed: DataFrame, labels: Dat
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("words", _words.clear)
         now, held, index = None, [], None
-        for b in batches:
+        for b in sliced(batches):
             out: list[tuple[int, int]] = []
             for bucket, blk, chk, doc, comp, query, text in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "chunk", "doc_id", "comp", "query", "text")), strict=True):
                 if now != (bucket, blk, chk):
@@ -249,18 +249,18 @@ def remaining(texts: DataFrame, edges: DataFrame, failed: DataFrame, labels: Dat
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
-    Null and empty texts have an empty set and are linked with nothing. Rows of the same doc_id count as one document.
-    A row without doc_id is linked with nothing, its component_id is null, and it is kept. An empty table gives no rows.
-    Other columns of docs aren't read.
+    Null and empty texts have an empty set and are linked with nothing; very long texts are taken whole. Rows of the same
+    doc_id count as one document. A row without doc_id is linked with nothing, its component_id is null, and it is kept.
+    An empty table gives no rows. Other columns of docs aren't read.
     """
-    spark = docs.sparkSession
     signed = written(signatures(docs, width), "signatures")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(named.groupBy("set_key").agg(F.min("doc_id").alias("cid")), "classes")
-    reps = named.join(classes.withColumnRenamed("cid", "doc_id"), ["doc_id", "set_key"], "left_semi")
+    classes = written(signed.groupBy("set_key").agg(F.min(F.when(F.col("n_shingles") > 0, F.col("doc_id"))).alias("cid"), F.count("*").alias("rows")), "classes")
+    reps = named.join(classes.select(F.col("cid").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
     members = written(reps.select(F.col("doc_id").alias("cid"), F.explode("buckets").alias("bucket")).distinct(), "buckets")
-    centres = members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    edges = written(members.join(centres, "bucket").where("cid <> centre").select("bucket", "centre", F.col("cid").alias("member")), "stars")
+    centres = written(members.groupBy("bucket").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1"), "centres")
+    met = join_counted(members, centres, "bucket", "n", members.count())
+    edges = written(met.where("cid <> centre").select("bucket", "centre", F.col("cid").alias("member")), "stars")
     pairs = written(edges.select("centre", "member").distinct(), "pairs")
     involved = pairs.select(F.col("member").alias("doc_id")).union(pairs.select("centre")).distinct()
     texts = written(_rows(docs).join(involved.hint("merge"), "doc_id", "left_semi"), "candidate-texts")
@@ -272,17 +272,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         more = written(remaining(texts, edges, failed, near, width, percent), "more-links")
         if more.limit(1).count():
             near = components(links.unionByName(more))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    out = out.join(near.withColumnRenamed("node", "cid"), "cid", "left")
-    group = F.when(F.col("n_shingles") > 0, F.coalesce("label", "cid"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(group, "doc_id")).alias("component_id"))
+    named = classes.join(near.withColumnRenamed("node", "cid"), "cid", "left")
+    named = written(named.select("set_key", F.coalesce("label", "cid").alias("group"), "rows"), "groups")
+    out = join_counted(signed.select("doc_id", "n_shingles", "set_key"), named, "set_key", "rows", signed.count())
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents of a component other than the first; the columns stay as they are."""
-    names = docs.columns
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    keep = near_duplicates(docs, width, percent).where("kept").select(key.alias("_key"))
-    kept = docs.withColumn("_key", key).join(keep.hint("merge"), "_key", "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    """docs without the documents of a component other than the first; the columns stay as they are, whatever their names.
+
+    The rules are those of near_duplicates(): rows without text or id stay, and so do all rows of a kept id, repeated ones
+    too. An empty table stays empty.
+    """
+    (key,) = spare_names(docs.columns, "key")
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    keep = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key))
+    kept = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.col("doc_id").cast("long")).join(keep.hint("merge"), key, "left_semi")
+    return kept.select(*whole).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import attach, written
+from .scratch import attach, spare_names, written
 from .text import hash60, n_words
 
 #: Fixed values of the mix: weights by rank of the source, share of all words, times a document may be taken.
@@ -95,6 +95,11 @@ def _greedy(rows: str, room: str) -> str:
       s -> s.ids)"""
 
 
+def alike() -> Column:
+    """A hash of id, source and text; which of them is null counts."""
+    return F.xxhash64(*[x for c in ("doc_id", "source", "text") for x in (F.col(c).isNull(), F.col(c).cast("string"))])
+
+
 def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """One row for each row of docs: doc_id, size, source_size, target, taken, copies, shards, uid.
 
@@ -104,8 +109,8 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     them is taken makes no difference. An empty table gives no rows.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    base = base.select("doc_id", "source", "size", key.alias("skey"), hash60(F.lit(seed), F.col("doc_id")).alias("h"), F.monotonically_increasing_id().alias("uid"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), alike().alias("alike"))
+    base = base.select("doc_id", "source", "size", key.alias("skey"), hash60(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("alike"))).alias("h"), "alike", F.monotonically_increasing_id().alias("uid"))
     base = written(base, "mix-sizes")
     sizes = base.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.count("*").alias("docs"), F.sum("size").alias("source_size"))
     goals = source_targets(sizes)
@@ -114,7 +119,7 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     goals = goals.withColumn("blocks", F.least(F.lit(MAX_BLOCKS), F.ceil(F.col("docs") / BLOCK_DOCS)).cast("long"))
     goals = written(goals.drop("source"), "mix-goals")
     rows = attach(base.drop("source"), goals, "skey", F.xxhash64("uid"))
-    rows = written(rows.withColumn("block", F.pmod(F.col("h"), F.col("blocks"))).select("doc_id", "size", "skey", "h", "uid", "block", "source_size", "target"), "mix-rows")
+    rows = written(rows.withColumn("block", F.pmod(F.col("h"), F.col("blocks"))).select("doc_id", "size", "skey", "h", "alike", "uid", "block", "source_size", "target"), "mix-rows")
 
     blocks = attach(rows.groupBy("skey", "block").agg(F.sum("size").alias("words")), goals, "skey", F.xxhash64("block"))
     blocks = blocks.withColumn("perm", hash60(F.lit(seed), F.col("skey"), F.col("block")))
@@ -143,7 +148,7 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     picked = picked.select(F.explode(F.expr(_greedy("rows", "room"))).alias("uid"), F.lit(1).alias("one"))
     out = rows.join(decided.select("skey", "block", "whole", "all_shards"), ["skey", "block"]).join(picked, "uid", "left")
     out = out.withColumn("copies", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.expr("slice(coalesce(all_shards, array()), 1, copies)").alias("shards"), "uid")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.expr("slice(coalesce(all_shards, array()), 1, copies)").alias("shards"), "alike", "uid")
 
 
 def _draws() -> Column:
@@ -153,25 +158,27 @@ def _draws() -> Column:
 
 
 def mixed_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """The rows of mixed() in its order, with _shard, the output shard of each.
+    """The rows of mixed() in its order, with one more column, _shard (more underscores if docs has that), their output shard.
 
-    Rows and decisions meet by doc_id and the row's rank among those of its id: both are dealt together by id, once.
+    Rows and decisions meet by a hash of id, source and text and the row's rank among those alike in it (rows alike in all
+    three may be interchanged): both are dealt together by that hash, once, so null ids and repeated ids are spread.
     Ranges of (shard, hash) are then dealt to tasks, so that a large shard is split over several.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    plan = plan_mix(docs, shards, seed).select(key.alias("_key"), F.col("size").alias("_size"), F.col("shards").alias("_shards"), F.lit(1).alias("_side"))
-    rows = docs.withColumns({"_key": key, "_size": n_words(F.col("text")), "_side": F.lit(0)})
+    key, size, taken, side, rank, draw, shard = spare_names(docs.columns, "_key", "_size", "_taken", "_side", "_rank", "_draw", "_shard")
+    plan = plan_mix(docs, shards, seed).select(F.col("alike").alias(key), F.col("shards").alias(taken), F.col("uid").alias(size), F.lit(1).alias(side))
+    rows = docs.withColumns({key: alike(), size: F.monotonically_increasing_id(), side: F.lit(0)})
     both = rows.unionByName(plan, allowMissingColumns=True)
-    both = both.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_side").orderBy("_size")))
-    both = both.withColumn("_shards", F.max("_shards").over(Window.partitionBy("_key", "_n"))).where("_side = 0")
-    out = both.select("*", F.posexplode("_shards").alias("_draw", "_shard"))
-    order = hash60(F.lit(seed), F.col("_key"), F.col("_n"), F.col("_draw"))
-    return out.orderBy("_shard", order, "_key", "_n", "_draw").select(*[F.col(f"`{c}`") for c in docs.columns], "_shard")
+    both = both.withColumn(rank, F.row_number().over(Window.partitionBy(key, side).orderBy(size)))
+    both = both.withColumn(taken, F.max(taken).over(Window.partitionBy(key, rank))).where(F.col(side) == 0)
+    out = both.select("*", F.posexplode(taken).alias(draw, shard))
+    order = hash60(F.lit(seed), F.col("doc_id"), F.col(key), F.col(rank), F.col(draw))
+    return out.orderBy(shard, order, key, rank, draw).select(*[F.col(f"`{c}`") for c in docs.columns], shard)
 
 
 def mixed(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs as often as plan_mix() takes it, in shards, ordered by a hash inside each.
 
-    The columns stay as they are.
+    The columns stay as they are, whatever their names. Rows with a null id, source or text are mixed as any others (a text
+    without words as often as its block is drawn); rows alike in every way are each taken; an empty table stays empty.
     """
-    return mixed_shards(docs, shards, seed).drop("_shard")
+    return mixed_shards(docs, shards, seed).select(*[F.col(f"`{c}`") for c in docs.columns])

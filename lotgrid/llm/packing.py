@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import claim, release
-from .scratch import fresh_path, small_batches
+from .scratch import fresh_path, sliced
 from .tokens import encoder, gathered
 
 WINDOW, OPEN, MERGE = 1024, 16, 64
@@ -117,16 +117,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
     """One row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     docs has doc_id and text (null: empty, only the end id is packed; without an end id such a row has no piece). Each
-    row is packed, repeated rows too; a null doc_id stays null. An empty table gives no rows. Sequence ids are unique.
+    row is packed, repeated rows too; a null doc_id stays null. A text longer than a window is cut, whatever its length. Of
+    windows that fit equally well, or are equally full, the one opened first is taken. Other columns aren't read. An empty
+    table gives no rows. Sequence ids are unique.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("tokens", encoder.cache_clear)
         part, packer, n, rows = TaskContext.get().partitionId(), Packer(window, keep), 0, []
-        for b in gathered(batches):
+        for b in gathered(sliced(batches)):
             texts = [x or "" for x in b.column("text").to_pylist()]
             for doc, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts), strict=True):
                 for w in packer.add(doc, ids + tail):
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
             rows = [r for k, w in enumerate(merge_windows(list(held.values()), window)) for r in w.rows((1 << 62) + (group << 32) + k)]
             return _batch(rows)
 
-        for b in batches:
+        for b in sliced(batches):
             for r in b.to_pylist():
                 if r["part"] // MERGE != group:
                     if held:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Trees, fit
 from .sampling import labelled_texts
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Labelled texts of each label that trees are fitted on, chosen by a hash of the id; score from which a text is kept.
 TRAIN_EACH, KEEP_FROM = 4000, 0.5
@@ -82,11 +82,10 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Trees:
     """Trees for labels.quality (1: good), from about `each` labelled texts of each label."""
-    small_batches(docs.sparkSession)
     chosen, _ = labelled_texts(docs, labels, "quality", each)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [np.array(statistics(t)[1], np.float64).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
@@ -103,10 +102,9 @@ def assess(docs: DataFrame, trees: Trees) -> DataFrame:
     A null text counts as empty: no words, so it fails the base rules. Repeated rows are each assessed. Other columns
     aren't read; an empty table gives no rows. Without labels to learn from, the score is 0.5 and the base rules decide.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             base, score = zip(*[statistics(t) for t in b.column("text").to_pylist()], strict=True) if b.num_rows else ((), ())
             counts = np.array(base, np.int64).reshape(-1, len(BASE))
             found = trees.score(np.array(score, float).reshape(-1, len(FEATURES)))

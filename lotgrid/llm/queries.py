@@ -74,7 +74,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(_docs(spark, sf_dir)).drop("uid")
+    return mixing.plan_mix(_docs(spark, sf_dir)).drop("alike", "uid")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("spark.lotgrid.scratch", None)
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own on a local master, else an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lotgrid.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="lotgrid-")
         spark.conf.set("spark.lotgrid.scratch", path)
     return path.rstrip("/")
@@ -36,12 +38,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, as texts may be long. Holds for the session; a smaller value stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (which Spark bounds in bytes) in parts of few rows, as texts grow when they become Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def spare_names(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores before it as make it differ from all columns (in any case)."""
+    used, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of big (total rows) with small, one row for each key, whose column n has the key's rows in big.
+
+    Keys with more than total / BROADCAST_ROWS rows are fewer than BROADCAST_ROWS: they are broadcast, so that their rows
+    stay where they are. The other keys are too small to hold up a task, and meet by a shuffle.
+    """
+    hot = F.col(n) > F.lit(total / BROADCAST_ROWS)
+    few, rest = small.where(hot).drop(n), small.where(~hot).drop(n)
+    near = big.join(F.broadcast(few), key)
+    return near.unionByName(big.join(F.broadcast(few.select(key)), key, "left_anti").join(rest.hint("merge"), key))
 
 
 def attach(big: DataFrame, small: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:

@@ -3,7 +3,7 @@
 A store is a folder of two Parquet tables, so that it can lie in any store that Spark writes, is committed by Spark's
 protocol and survives lost executors:
 
-- dictionary: hash (xxhash64), dict (bytes; null if the sample was too small to train one), vocab_width;
+- dictionary: hash (xxhash64), dict (bytes; null if there were no ids to learn from), vocab_width;
 - shards: part, seq (place in ascending doc_id order), dict_hash, first_doc, last_doc, n_docs, n_tokens, tokens_before
   (in its part), doc_ids, token_offsets and offsets (tokens and bytes before each document, and of all) and payload: one
   zstandard frame a document, of its ids as little-endian unsigned integers of vocab_width bytes.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .memory import claim, release
-from .scratch import attach, small_batches
+from .scratch import attach, sliced
 from .tokens import encoder, gathered
 
 #: The dictionary learns from about so many documents, chosen by a hash of their id, and so many ids of each. It only
@@ -40,26 +40,27 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def train_dictionary(samples: list[bytes]) -> bytes | None:
+    """A trained dictionary; of too small a sample, or one with too little in common, its own content serves as one."""
     import zstandard
 
-    if sum(map(len, samples)) < 8 * DICT_BYTES // 10 or len(samples) < 50:
-        return None
+    content = b"".join(samples)[-DICT_BYTES:]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # the sample has too little in common
-        return None
+    except zstandard.ZstdError:
+        return content if len(content) >= 8 else None
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
     """Encode the text of docs (doc_id, text; null text: empty) and write a store to path.
 
-    Documents lie in ascending doc_id order, nulls first; rows of the same doc_id by text. Rows repeated in full are
-    written as often as they come. An empty table gives a store without shards.
+    Documents lie in ascending doc_id order, nulls first; rows of the same doc_id by a hash of their text. Rows repeated in full are
+    written as often as they come, each as whole as it is, however long. An empty table gives a store without shards.
+    Other columns aren't read. The dictionary learns from the first SAMPLE_IDS ids of about SAMPLE_DOCS different rows,
+    chosen by a hash of id and text, so that null and repeated ids don't make the sample larger.
     """
     import xxhash
 
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     width = "<u2" if encoder(tokenizer).tok.get_vocab_size() <= 65_536 and (end_id or 0) < 65_536 else "<u4"
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -68,13 +69,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
         return np.frombuffer(ids + tail, "<u4").astype(width).tobytes()
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids = encoder(tokenizer).encode([x[: SAMPLE_IDS * 16] for x in _texts(b)])
             yield pa.record_batch([pa.array([narrow(x)[: SAMPLE_IDS * 4] for x in ids], pa.binary())], ["ids"])
 
     share = SAMPLE_DOCS / max(docs.count(), 1)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    raw = train_dictionary([bytes(r.ids) for r in chosen.mapInArrow(sampled, "ids binary").collect()])
+    place = F.xxhash64("doc_id", "text")
+    chosen = docs.where(F.pmod(place, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).groupBy(place.alias("place")).agg(F.min("text").alias("text"))
+    raw = train_dictionary([bytes(r.ids) for r in chosen.select("text").orderBy("place").mapInArrow(sampled, "ids binary").collect()])
     key = xxhash.xxh64_intdigest(raw or b"") - (1 << 63)
     spark.createDataFrame([(key, raw, int(width[2]))], "hash long, dict binary, vocab_width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -102,7 +104,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
             ids.clear(), counts.clear(), frames.clear()
             return out
 
-        for b in gathered(batches):
+        for b in gathered(sliced(batches)):
             for doc, x in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).encode(_texts(b)), strict=True):
                 own = narrow(x)
                 ids.append(doc), counts.append(len(own) // int(width[2])), frames.append(packer.compress(own))
@@ -113,7 +115,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
             yield flush()
         release()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The hash splits ranges of one id, null ids above all, over several tasks.
+    ordered = docs.withColumn("place", place).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "uncompressed").parquet(f"{path}/shards")
 
 
@@ -134,9 +137,9 @@ class TokenStore:
     def read(self, only: list[int] | None = None) -> DataFrame:
         """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit), by document.
 
-        only: read these documents alone, their shards by pushed-down ranges, their frames by offset.
+        only: read these documents alone, their shards by pushed-down ranges, their frames by offset; unknown ids give no
+        row, an id of several documents gives each. A shard of another dictionary is an error.
         """
-        small_batches(self.spark)
         table, raw, key, width = self.shards(), self.raw, self.key, self.width
         if only is not None:
             some = F.lit(False)
@@ -149,7 +152,7 @@ class TokenStore:
             import zstandard
 
             opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
-            for b in batches:
+            for b in sliced(batches):
                 for k in range(b.num_rows):
                     (row,) = b.slice(k, 1).to_pylist()
                     if row["dict_hash"] != key:

@@ -4,8 +4,8 @@ Both kinds of tokenizer that are told apart here never join characters over a bl
 batch's chunks are numbered by a hash table outside Python; only chunks that are new to the batch are looked up, and only
 those new to the process are encoded: a word of Latin letters by the tokenizer's model (its normaliser and
 pre-tokenizer leave such a word whole), a word with a full stop or comma, or joined to the next by a line feed, from its
-parts, which the tokenizers' patterns keep apart too. Texts for which that doesn't hold are encoded whole; tokenizers of
-other kinds encode whole texts only.
+parts, which the tokenizers' patterns keep apart too. Texts for which that doesn't hold, and texts with an added token in
+them, are encoded whole; tokenizers of other kinds encode whole texts only.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Texts of added tokens (special ones too): the tokenizer cuts a text at them before all else.
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.model, self.letters = self.tok.model, _byte_letters()
         first, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         parts = [x.get("type") for x in first.get("normalizers", [])]
@@ -133,6 +134,8 @@ class ChunkEncoder:
             return self._ids(texts)
         column = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(column, _ODD)
+        for x in self.added:
+            odd = pc.or_(odd, pc.match_substring(column, x, ignore_case=self.mode == "word"))
         if self.mode == "word":
             column = pc.if_else(pc.string_is_ascii(column), pc.ascii_lower(column), column)
             column = pc.replace_substring(column, "\n", " ")

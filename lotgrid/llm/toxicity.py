@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_texts
-from .scratch import small_batches
+from .scratch import sliced
 
 #: Labelled texts of each label that the classifier is fitted on, chosen by a hash of the id.
 TRAIN_EACH = 1000
@@ -82,11 +82,10 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, score (0 to 1) for each row of docs; a null or empty text gets the score of no feature at all."""
-        small_batches(docs.sparkSession)
         model = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 z = np.array([model.margin(t) for t in b.column("text").to_pylist()], float)
                 yield pa.record_batch([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], ["doc_id", "score"])
 
@@ -144,11 +143,10 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH) -> ToxicityModel:
     """Fit on about `each` labelled texts of each value of labels.toxic, of the ids where keep (on doc_id) holds."""
-    small_batches(docs.sparkSession)
     chosen, _ = labelled_texts(docs, labels, "toxic", each, keep)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [_grams().features(t).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 

@@ -1,5 +1,6 @@
 """The other operators against brute force, exact round trips or held-out accuracy, with edge cases."""
 
+import json
 import random
 from itertools import combinations
 
@@ -15,7 +16,7 @@ from lotgrid.llm.tokens import ChunkEncoder
 
 tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, start string"
-EDGES = [(5, None), (3, ""), (9, "One two"), (9, "One two"), (1, "Hello  world.\n \n\tEnd, it's.\nÉté"), (None, "no id"), (2, "long " * 30_000), (4, "<|endoftext|> \0 x"), (7, " lead"), (8, "trail ")]
+EDGES = [(5, None), (3, ""), (9, "One two"), (9, "One two"), (1, "Hello  world.\n \n\tEnd, it's.\nÉté"), (None, "no id"), (2, "long " * 30_000), (4, "<|endoftext|> \0 x"), (6, "Hello<|endoftext|>world <|startoftext|> <|ENDOFTEXT|>, a.<|endoftext|>"), (7, " lead"), (8, "trail ")]
 
 
 def docs(spark, rows, lang="en"):
@@ -25,9 +26,7 @@ def docs(spark, rows, lang="en"):
 def plain(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -35,6 +34,9 @@ def test_chunk_encoder_equals_the_tokenizer(name):
     rng = random.Random(2)
     letters = "aBz.,\n  \t\r\x1c 'séÇßΣ́…日12\0"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [t or "" for _, t in EDGES]
+    added = [x["content"] for x in json.load(open(tokenizers.path(name)))["added_tokens"]]
+    texts += [rng.choice(["", "a", "Word ", " x.", "\n", "é"]) + t + rng.choice(["", "b", " word", ",", "  "]) + u for x in added for t in (x, x.upper(), x[:-1], " " + x) for u in (x, "", " end")]
+    assert added
     fast, slow = ChunkEncoder(tokenizers.path(name), 500), plain(name)
     for k in range(0, len(texts), 300):
         want = [np.array(x.ids, "<u4").tobytes() for x in slow.encode_batch(texts[k : k + 300], add_special_tokens=False)]

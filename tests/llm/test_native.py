@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lotgrid.llm import exact_dedup, mixing, pii
+from lotgrid.llm import exact_dedup, minhash, mixing, pii, sampling
 from lotgrid.llm.scratch import fresh_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -54,6 +54,61 @@ def test_index_persists(spark):
     assert (told["Num Buckets"], told["Bucket Columns"], told["Sort Columns"]) == ("4", "[`digest`]", "[`digest`]")
 
 
+def test_index_keeps_its_buckets(spark):
+    path, rows = fresh_path(spark, "index-buckets"), docs(spark, [(i, f"text {i}", "s") for i in range(200)])
+    first = exact_dedup.DigestIndex(spark, path, 4)
+    assert sum(r.kept for r in exact_dedup.exact_duplicates(rows, first).collect()) == 200
+    first.close()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        again = exact_dedup.DigestIndex(spark, path)
+        got = exact_dedup.exact_duplicates(rows, again).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert again.buckets == 4 and len(got) == 200 and not any(r.kept for r in got) and again.entries().count() == 200
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, path, 8)
+    again.close()
+    assert not [t.name for t in spark.catalog.listTables() if t.name in (first.table, again.table)]
+
+
+def test_a_batch_can_be_run_again(spark):
+    index = exact_dedup.DigestIndex(spark, fresh_path(spark, "index-retry"))
+    exact_dedup.exact_duplicates(docs(spark, [(1, "old", "s")]), index, "monday").collect()
+    rows = docs(spark, [(i, f"text {i % 150}", "s") for i in range(200)] + [(900, "OLD", "s")])
+    runs = [sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(rows.repartition(n), index, "tuesday").collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] and sum(r[3] for r in runs[0]) == 150 and runs[0][-1] == (900, 1, 1, False)
+    assert index.entries().count() == 151
+    kept = exact_dedup.drop_exact_duplicates(rows, index, "tuesday")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in runs[0] if r[3])
+    index.close()
+
+
+def test_stages_leave_clashing_names_alone(spark):
+    """Columns named as those used inside keep their values; rows alike in every column, and null ids, are counted right."""
+    inside = ["_key", "key", "digest", "mark", "_n", "_size", "_shards", "_shard", "_side", "_rank", "_draw", "top_key", "rows", "KEY2"]
+    schema = DOCS.replace("extra string", ", ".join(f"`{c}` string" for c in inside))
+    rows = [(i, t, "en", s, 1, *(["mine"] * len(inside))) for i, t, s in [*EDGES, (None, "abc", "a"), (None, None, None), (40, "only this", "b")]]
+    table = spark.createDataFrame(rows, schema)
+    for stage in (exact_dedup.drop_exact_duplicates, minhash.drop_near_duplicates, mixing.mixed):
+        out = stage(table)
+        assert out.schema.names == table.schema.names and out.dtypes == table.dtypes
+        assert all(r[c] == "mine" for r in out.collect() for c in inside)
+        assert stage(table.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(table).collect()) == [4, 5, 6, 7, 8, 40]
+    planned = mixing.plan_mix(table).groupBy().agg(F.sum("copies")).first()[0]
+    assert mixing.mixed(table).count() == planned
+
+
+def test_samples_stay_bounded(spark):
+    """50,000 rows without an id, and 50,000 of one id, don't make a sample of all rows."""
+    many = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert 1000 < sampling.per_class(many, "lang", 1500, ("doc_id", "text"))[0].count() < 2000
+    one = many.withColumn("doc_id", F.lit(7).cast("long")).withColumn("toxic", F.lit(1))
+    assert sampling.labelled_texts(one, one, "toxic", 1000)[0].count() <= 1
+
+
 def targets(sizes, order):
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
     total, open_, fixed = 1.5 * sum(sizes.values()), set(order), {}
