@@ -36,7 +36,7 @@ def features(found: list[Block], title: str) -> list[list[str]]:
             own.append("ends")
         if "©" in b.text:
             own.append("copyright")
-        if title and (b.text.startswith(title[:50]) or title.startswith(b.text) and words > 2):
+        if title and (b.text.startswith(title) or title.startswith(b.text) and words > 2):
             own.append("title")
         if k == 0:
             own.append("first")
@@ -145,7 +145,8 @@ def default_field() -> Field:
 def extract(pages: DataFrame, model: Field | None = None) -> DataFrame:
     """page_id, url, text (main text, empty if none), n_chars, for each row of pages (page_id, url, html).
 
-    Null or empty html gives an empty text; a page without tags is one block. Ids, urls and repeated rows pass as they
+    Null or empty html gives an empty text; a page without tags is one block; long and deep pages are read whole, in time
+    in proportion to their length. Ids, urls and repeated rows pass as they
     are; an empty table gives no rows. Other columns aren't read.
     """
     model = model or default_field()

@@ -75,7 +75,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
     top = int(np.bincount(ids).max()) if n else 0
     ended = sum(x.rstrip(" \t\v\f\r")[-1:] in ".!?" for x in lines)
     return base, [
-        min(n, 20_000), chars / n, symbols / n, dup / len(lines), repeat / n, _count(raw, _UPPER) / chars, _count(raw, _DIGITS) / chars, _count(raw, _MARKS) / n,
+        n, chars / n, symbols / n, dup / len(lines), repeat / n, _count(raw, _UPPER) / chars, _count(raw, _DIGITS) / chars, _count(raw, _MARKS) / n,
         raw.count(b"!") / n, raw.count(b"|") / n, n / len(lines), ended / len(lines), len(seen) / n, top / n if n >= 20 else 0.0,
     ]
 
