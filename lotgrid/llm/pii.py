@@ -40,17 +40,17 @@ NEEDS = {"email": "instr({t}, '@') > 0", "ip": "{t} RLIKE '[0-9][.][0-9]'", "car
 
 #: Generators of candidates: kind, pattern, what a text must have. Candidates of one generator don't overlap.
 GENERATORS = {
-    "phone_groups": ("phone", r"(?<![0-9A-Za-z+.-])(?![0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9]))(?=\(?[0-9][\x20()./0-9-]{7})(?:\([0-9]{2,5}\)\x20?[0-9]{2,6}|[0-9]{2,5}[\x20./-]{1,2}[0-9]{2,6})(?:[\x20./-]{1,2}[0-9]{2,6}){0,5}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{2}(?:[)] ?|[ ./-]{1,2})[0-9]{2}'"),
-    "phone_zero": ("phone", r"(?<![0-9A-Za-z.-])00\x20?[1-9][\x20().0-9-]{6,18}[0-9](?![0-9A-Za-z])", "{t} RLIKE '(?<![0-9])00 ?[1-9]'"),
-    "phone_run": ("phone", r"(?<![0-9A-Za-z+./-])[0-9]{9,12}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{9}'"),
+    "phone_groups": ("phone", r"(?<![0-9A-Za-z+.-])(?![0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9]))(?=\(?[0-9][\x20()./0-9-]{7})(?:\([0-9]{2,5}\)\x20?[0-9]{2,6}|[0-9]{2,5}[\x20./-]{1,2}[0-9]{2,6})(?:[\x20./-]{1,2}[0-9]{2,6}){0,5}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9]{2}(?:[)] ?|[ ./-]{1,2})[0-9]{2}'"),
+    "phone_zero": ("phone", r"(?<![0-9A-Za-z.-])00\x20?[1-9][\x20().0-9-]{6,18}[0-9](?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '(?<![0-9])00 ?[1-9]'"),
+    "phone_run": ("phone", r"(?<![0-9A-Za-z+./-])[0-9]{9,12}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9]{9}'"),
     "email_spelled": ("email", r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}+\x20?[\[({](?i:at)[\])}]\x20?[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[({](?i:dot)[\])}]\x20?)[A-Za-z0-9-]{1,63}){1,5}", "{t} RLIKE '[(\\\\[{](?i:at)[)\\\\]}]'"),
-    "ip_six": ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|:)(?![0-9A-Za-z:])", "{t} RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f:]'"),
-    "card_run": ("card", r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{13}'"),
-    "card_groups": ("card", r"(?<![0-9A-Za-z.])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{3,4}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]{4}[ ./_-][0-9]{4}'"),
-    "secret_opaque": ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}", "{t} RLIKE '[A-Za-z0-9+/_-]{16}'"),
-    "secret_assigned": ("secret", r"(?<=(?i:password|passwd|passphrase|pwd|secret|token|key|credentials?)[\x22']?\x20{0,2}[:=]\x20{0,2}[\x22']?)[^\s\x22':=,;]{6,}+", "{t} RLIKE '(?i:password|passwd|passphrase|pwd|secret|token|key|credential)'"),
-    "id_dashed": ("id", r"(?<![0-9A-Za-z.-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9A-Za-z-])", "{t} RLIKE '[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}'"),
-    "id_account": ("id", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", "{t} RLIKE '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'"),
+    "ip_six": ("ip", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::?[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}|:)(?![0-9A-Za-z:])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9A-Fa-f]:[0-9A-Fa-f:]'"),
+    "card_run": ("card", r"(?<![0-9A-Za-z.-])[0-9]{13,19}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9]{13}'"),
+    "card_groups": ("card", r"(?<![0-9A-Za-z.])[0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{4}[\x20./_-][0-9]{3,4}(?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9]{4}[ ./_-][0-9]{4}'"),
+    "secret_opaque": ("secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,40}[0-9])(?=[0-9+/_-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{16,}+={0,2}", "{t} RLIKE '[0-9]' AND {t} RLIKE '[A-Za-z0-9+/_-]{16}'"),
+    "secret_assigned": ("secret", r"(?<=(?i:password|passwd|passphrase|pwd|secret|token|key|credentials?)[\x22']?\x20{0,2}[:=]\x20{0,2}[\x22']?)[^\s\x22':=,;]{6,}+", "{t} RLIKE '[:=]' AND {t} RLIKE '(?i:password|passwd|passphrase|pwd|secret|token|key|credential)'"),
+    "id_dashed": ("id", r"(?<![0-9A-Za-z.-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9A-Za-z-])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}'"),
+    "id_account": ("id", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", "{t} RLIKE '[0-9]' AND {t} RLIKE '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}'"),
 }
 _OWN = {
     "phone": "phone|telephone|telephones|tel|telefon|tel[eé]fono|t[eé]l[eé]phone|t[eé]l|mobile|mobil|m[oó]vil|portable|handy|cell|call|ring|dial|fax|sms|text|whatsapp|hotline|reach|contact|voicemail|rufnummer|llama|appelez",
