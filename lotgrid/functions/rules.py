@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .fixed import fixed
+
 #: Fixed values of the site discovery.
 EXCLUDED_REGIONS = ["Jersey", "Guernsey", "Isle of Man"]
 STRONG_FORMATS = ["Superstore", "Supercentre", "Extra", "Food Warehouse", "Retail Park"]
 RETAILER_SCORES = {"Asda": 3, "Tesco": 3, "Sainsburys": 3, "Morrisons": 3, "Aldi": 2, "Lidl": 2, "Iceland": 2, "Waitrose": 2, "Marks and Spencer": 1}
 SIZE_SCORES = {"30,138 ft2 > (2,800 m2)": 3, "15,069 < 30,138 ft2 (1,400 < 2,800 m2)": 2, "3,013 < 15,069 ft2 (280 < 1,400 m2)": 1}
+EXCLUDED_FORMATS = ["Express", "Local", "PFS", "Petrol", "BP", "Esso", "Shell", "Hospital", "Travel", "MSA", "Motorway", "Food To Go", "Outlet"]
+FOCUS_REGIONS = [
+    "Greater London", "Essex", "Kent", "Surrey", "West Sussex", "East Sussex", "Gloucestershire", "Bristol", "West Midlands", "Cardiff",
+    "Hampshire", "Berkshire", "Buckinghamshire", "Oxfordshire", "Wiltshire", "Dorset", "Somerset", "Cambridgeshire", "Hertfordshire", "Bedfordshire",
+]
+INSPECTED_POSTCODES = [
+    "BS10 7EN", "RH10 9BN", "RH12 1AJ", "RM7 0AN", "TN24 0SE", "CV6 3EX", "CO12 3HJ", "CT11 9TT", "B33 9AN", "TW4 7DN", "BN12 4AL",
+    "GL52 8NF", "CF23 9AN", "RH13 5PX", "E6 1NN", "TW9 4AD", "ME20 6PW", "SE28 8RD", "DA16 1QL", "HA1 4HX", "CO3 8AA", "KT1 1BU",
+    "E4 8HP", "IG10 4PE", "CR3 5QX", "IG8 8GE", "IG11 7BS", "CO4 3BQ", "BN27 1BE", "KT3 4HE", "BS6 7XW",
+]
+SHORTLIST_COLUMNS = ["id", "retailer", "fascia", "store_name", "add_one", "town", "county", "postcode", "long_wgs", "lat_wgs", "pqi", "size_band", "candidate_score"]
+SHORTLIST_BLANKS = ["accepted", "surface_car_park_visible", "capacity_estimable", "exclude_reason", "proposed_split"]
 #: Fixed thresholds used where no selected one is at hand.
 FALLBACK_THRESHOLDS = {"baseline": 0.004, "transfer": 0.012, "uk_adapt": 0.477}
 #: Fixed bounds of valid coordinates.
@@ -64,4 +78,4 @@ def rate(part: Column, whole: Column, scale: float = 1.0) -> Column:
 
 def metric_text(value: Column) -> Column:
     """Four decimals, or n/a for an absent or negative value."""
-    return F.when(value.isNull() | (value < 0), "n/a").otherwise(F.format_string("%.4f", value))
+    return F.when(value.isNull() | (value < 0), "n/a").otherwise(fixed(value, 4))

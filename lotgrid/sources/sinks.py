@@ -12,16 +12,19 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import fixed_line
+
 
 def label_lines(cls: Column, *values: Column) -> Column:
-    """One line of a label file, six decimals."""
-    return F.format_string("%d" + " %.6f" * len(values), cls, *values)
+    """One line of a label file, six decimals of the exact value."""
+    return fixed_line(cls, list(values), 6)
 
 
 def label_files(labels: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
     """keys and content of each tile's label file, in order of ord; a tile without boxes has an empty file."""
     line = label_lines(F.col("cls"), *[F.col(c) for c in ("cx", "cy", "w", "h")])
-    text = labels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("_l"))
+    lines = labels.select(*keys, "ord", line.alias("line"))
+    text = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("_l"))
     joined = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
     return tiles.select(*keys).join(text, keys, "left").select(*keys, F.coalesce(F.concat(joined, F.lit("\n")), F.lit("")).alias("content"))
 
@@ -44,9 +47,12 @@ def geojson_features(points: DataFrame, x: str, y: str, crs: str) -> DataFrame:
 
 
 def polygon_features(rows: DataFrame, ring: str) -> DataFrame:
-    """As above for a closed ring of x, y."""
+    """As above for a ring of x, y, closed if it isn't (an empty ring stays empty)."""
     props = [c for c in rows.columns if c != ring]
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
+    points = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
+    first, last = F.get(points, F.lit(0)), F.get(points, F.size(points) - 1)
+    closed = F.when(first != last, F.concat(points, F.array(first))).otherwise(points)
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
     return rows.select(*props, F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*props).alias("properties"))).alias("feature"))
 
 

@@ -17,18 +17,27 @@ LEDGER = "timestamp string, name string, model string, data string, split string
 DETECTIONS = "site_id string, model string, tile string, det_no int, x1 double, y1 double, x2 double, y2 double, score double"
 
 
-def _csv(spark: SparkSession, path, schema: str) -> DataFrame:
+def _csv(spark: SparkSession, path, schema: str, numbered: bool = False) -> DataFrame:
     """By the file's header, so that columns may come in any order; cells that don't parse become null."""
     fields = T._parse_datatype_string(schema) if not isinstance(schema, T.StructType) else schema
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    raw = _raw(spark, path)
     named = {c.strip(): c for c in raw.columns}
     cell = lambda f: F.col(f"`{named[f.name]}`").try_cast(f.dataType) if f.name in named else F.lit(None).cast(f.dataType)
-    return raw.select(*[cell(f).alias(f.name) for f in fields])
+    place = [F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("row_no")] if numbered else []
+    return raw.select(*[cell(f).alias(f.name) for f in fields], *place)
+
+
+def _raw(spark: SparkSession, path) -> DataFrame:
+    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
 def read_tile_index(spark: SparkSession, path) -> DataFrame:
-    """path may be a glob or a list. Of a tile named twice the later row counts (rows are numbered in file order)."""
-    rows = _csv(spark, path, TILE_INDEX).withColumn("row_no", F.monotonically_increasing_id())
+    """path may be a glob or a list. Of a tile named twice the later row counts, files being in order of their paths.
+
+    row_no orders the rows: path, part of the file and the row's number in it (numbers alone follow the order in which
+    Spark packs files into tasks).
+    """
+    rows = _csv(spark, path, TILE_INDEX, numbered=True)
     last = F.row_number().over(Window.partitionBy("site_id", "tile").orderBy(F.desc("row_no")))
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
 
@@ -44,7 +53,7 @@ def site_origins(index: DataFrame, key: str = "site_id", order: str = "row_no")
 def read_registry(spark: SparkSession, path) -> DataFrame:
     """All cells as text, as the checks need them; row_no keeps the order of the file."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in REGISTRY_COLUMNS])
-    return _csv(spark, path, schema).withColumn("row_no", F.monotonically_increasing_id())
+    return _csv(spark, path, schema, numbered=True)
 
 
 def accepted_sites(registry: DataFrame, split: str = "uk_test") -> DataFrame:

@@ -6,12 +6,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lotgrid.plans import detection, places, summaries
+from lotgrid.plans import detection, discovery, places, summaries
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = detection.QUERIES | places.QUERIES | summaries.QUERIES
-ORACLE = detection.ORACLE | places.ORACLE | summaries.ORACLE
+QUERIES = detection.QUERIES | places.QUERIES | summaries.QUERIES | discovery.QUERIES
+ORACLE = detection.ORACLE | places.ORACLE | summaries.ORACLE | discovery.ORACLE
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
