@@ -2,7 +2,8 @@
 
 Every letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) the three letters' vectors, rotated
 by their place; a text's vector bundles (adds) those of its trigrams. A language's prototype bundles the unit vectors of
-labelled texts. A text gets the language whose prototype has the largest cosine with it.
+labelled texts. A text gets the language whose prototype has the largest cosine with it; as a filter, a text goes if that
+cosine is far below those of labelled texts.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .scratch import sliced
 #: Dimensions; labelled texts of each language that prototypes are fitted on, chosen by a hash of the id.
 DIMS, TRAIN_EACH, SEED = 1024, 1500, 17
 UNKNOWN = "und"
+#: As a filter: distinct trigrams from which on a cosine is evidence (the cosines of shorter texts scatter down to 0, so they
+#: stay whatever theirs is), and the share of the smallest cosine of such labelled texts below which a text is rejected.
+EVIDENCE, REJECT_SHARE = 20, 0.5
 #: Texts whose vectors are made at once, trigrams whose vectors are expanded at once, trigrams remembered.
 _TEXTS, _CHUNK, _MEMORY = 64, 4096, 24_000
 
@@ -70,9 +74,14 @@ class Trigrams:
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Unit vectors of the texts; zeros for one without letters."""
-        out = np.zeros((len(texts), self.dims), np.float32)
+        return self.texts_and_sizes(texts)[0]
+
+    def texts_and_sizes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors of the texts and their numbers of distinct trigrams."""
+        out, sizes = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), np.int64)
         for at in range(0, len(texts), _TEXTS):
             own = [self.codes(t) for t in texts[at : at + _TEXTS]]
+            sizes[at : at + len(own)] = [len(c) for c, _ in own]
             every = np.unique(np.concatenate([c for c, _ in own]))
             for k in range(0, len(every), _CHUNK):
                 some = every[k : k + _CHUNK]
@@ -82,7 +91,7 @@ class Trigrams:
                     counts[i, np.searchsorted(some, c[lo:hi])] = n[lo:hi]
                 out[at : at + len(own)] += counts @ self.vectors(some)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms > 0, norms, 1)
+        return out / np.where(norms > 0, norms, 1), sizes
 
 
 _own: Trigrams | None = None
@@ -106,6 +115,17 @@ def _forget() -> None:
 class LanguageModel:
     languages: list[str]
     prototypes: np.ndarray
+    reject_below: float = 0.0
+
+    def accepts(self, texts: list[str]) -> list[bool]:
+        """Whether each text stays: it has a letter and, with EVIDENCE trigrams, a cosine of reject_below at least."""
+        if not texts:
+            return []
+        vectors, sizes = _trigrams().texts_and_sizes(texts)
+        if not self.languages:
+            return (sizes > 0).tolist()
+        best = (vectors @ self.prototypes.T).max(axis=1)
+        return ((sizes > 0) & ((sizes < EVIDENCE) | (best >= self.reject_below))).tolist()
 
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text, in the process that calls it."""
@@ -135,20 +155,27 @@ class LanguageModel:
         return rows.mapInArrow(score, "doc_id long, lang_pred string, score double")
 
     def accepted(self, docs: DataFrame) -> DataFrame:
-        """docs without the rows whose predicted language is 'und'; the columns stay as they are."""
-        model = LanguageModel(self.languages, self.prototypes)
+        """docs without the rows in no learned language (accepts()); the columns stay as they are.
+
+        Null texts and texts without a letter go. If no language was learned, every text with a letter stays. Repeated rows
+        are each judged; very long texts are read whole; other columns aren't read; an empty table stays empty.
+        """
+        model = LanguageModel(self.languages, self.prototypes, self.reject_below)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in sliced(batches):
-                names, _ = model.judge([x or "" for x in b.column("text").cast(pa.string()).to_pylist()])
-                yield b.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+                yield b.filter(pa.array(model.accepts([x or "" for x in b.column("text").cast(pa.string()).to_pylist()]), pa.bool_()))
             release()
 
         return docs.mapInArrow(run, docs.schema)
 
 
-def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH) -> LanguageModel:
-    """Prototypes from about `each` labelled texts of every language of docs (doc_id, text, lang) where keep holds."""
+def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH, as_filter: bool = False) -> LanguageModel:
+    """Prototypes from about `each` labelled texts of every language of docs (doc_id, text, lang) where keep holds.
+
+    as_filter: the sample is read once more and reject_below set to REJECT_SHARE of the smallest cosine that one of its
+    texts with EVIDENCE trigrams has with its own language's prototype (0 if there is no such text).
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
     chosen, _ = per_class(rows.where(keep) if keep is not None else rows, "lang", each, ("doc_id", "text"))
@@ -167,4 +194,19 @@ def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH) -
         total[lang] = total.get(lang, 0) + np.frombuffer(bytes(sums), np.float64)
     names = sorted(k for k, v in total.items() if np.any(v))
     rows_ = [total[k] / np.linalg.norm(total[k]) for k in names]
-    return LanguageModel(names, np.array(rows_, np.float32).reshape(len(names), DIMS))
+    model = LanguageModel(names, np.array(rows_, np.float32).reshape(len(names), DIMS))
+    if not (as_filter and names):
+        return model
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = 1.0
+        for b in sliced(batches):
+            vectors, sizes = _trigrams().texts_and_sizes([x or "" for x in b.column("text").to_pylist()])
+            own = [model.languages.index(x) if x in model.languages else -1 for x in b.column("lang").to_pylist()]
+            cosines = np.einsum("ij,ij->i", vectors, model.prototypes[own])
+            least = min([least, *cosines[(sizes >= EVIDENCE) & (np.array(own) >= 0)].tolist()])
+        yield pa.record_batch([pa.array([least])], ["least"])
+
+    found = chosen.select("lang", "text").mapInArrow(smallest, "least double").agg(F.min("least")).first()[0]
+    model.reject_below = REJECT_SHARE * max(0.0, found if found is not None and found < 1 else 0.0)
+    return model

@@ -4,7 +4,8 @@
    shared again by weight (water-filling in one pass over the sources sorted by size over weight).
 2. A source's documents are permuted by a hash into blocks of about BLOCK_DOCS documents (at most MAX_BLOCKS blocks a
    source, so no window over blocks grows without bound). Whole passes and a run of permuted blocks reach the target;
-   of the block that the target cuts, permuted documents are taken as long as they fit.
+   of the block that the target cuts and the blocks after it (CUT_BLOCKS in all), permuted documents are taken as long as
+   they fit. So what a source lacks is less than any document that these blocks leave out.
 3. Each draw of a block is a unit. The exact unit counts of the sources are split among the output shards by a binary
    tree: at each node the left half gets a multivariate-hypergeometric draw of the node's counts, the right half the
    rest. A shard then takes the next disjoint run of each source's permuted units and orders its rows by a hash (mixed_shards()).
@@ -22,7 +23,7 @@ from .text import hash60, n_words
 
 #: Fixed values of the mix: weights by rank of the source, share of all words, times a document may be taken.
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2
-BLOCK_DOCS, MAX_BLOCKS, SHARDS = 64, 65_536, 64
+BLOCK_DOCS, MAX_BLOCKS, CUT_BLOCKS, SHARDS = 64, 65_536, 8, 64
 
 #: One draw from a hypergeometric distribution by inversion: of `pool` units `marked` are marked and `take` are drawn.
 #: The terms, each made from the one before, run from 12 standard deviations below the mean to 12 above (over all of a
@@ -125,8 +126,10 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     blocks = blocks.withColumn("perm", hash60(F.lit(seed), F.col("skey"), F.col("block")))
     run = Window.partitionBy("skey").orderBy("perm", "block").rowsBetween(Window.unboundedPreceding, 0)
     blocks = blocks.withColumn("upto", F.sum("words").over(run)).withColumn("room", F.col("extra") - (F.col("upto") - F.col("words")))
-    cut = (F.col("room") > 0) & (F.col("room") < F.col("words"))
-    blocks = blocks.withColumn("whole", F.col("passes") + (F.col("words") <= F.col("room")).cast("long")).withColumn("cut", cut)
+    blocks = blocks.withColumn("nth", F.sum((F.col("words") > F.col("room")).cast("long")).over(run))
+    left = F.max(F.when(F.col("words") > F.col("room"), F.col("room"))).over(Window.partitionBy("skey"))
+    cut = F.coalesce((F.col("words") > F.col("room")) & (F.col("nth") <= CUT_BLOCKS) & (left > 0), F.lit(False))
+    blocks = blocks.withColumn("whole", F.col("passes") + (F.col("words") <= F.col("room")).cast("long")).withColumn("cut", cut).withColumn("room", left)
     blocks = written(blocks.select("skey", "block", "perm", "rank", "whole", "cut", "room"), "mix-blocks")
 
     units = blocks.withColumn("draw", F.explode(_draws()))
@@ -142,9 +145,9 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     dealt = units.join(places, ["rank", "place"]).groupBy("skey", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "shard"))), lambda x: x["shard"]).alias("all_shards"))
     decided = blocks.join(dealt, ["skey", "block"], "left")
 
-    cuts = written(blocks.where("cut").select("skey", "block", "room"), "mix-cuts")
+    cuts = written(blocks.where("cut").select("skey", "block", "perm", "room"), "mix-cuts")
     inside = rows.join(cuts.withColumnRenamed("block", "_block").withColumnRenamed("skey", "_skey"), (F.col("skey") == F.col("_skey")) & (F.col("block") == F.col("_block")))
-    picked = inside.groupBy("_skey", "room").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "size", "uid"))).alias("rows"))
+    picked = inside.groupBy("_skey", "room").agg(F.array_sort(F.collect_list(F.struct("perm", "_block", "h", "doc_id", "size", "uid"))).alias("rows"))
     picked = picked.select(F.explode(F.expr(_greedy("rows", "room"))).alias("uid"), F.lit(1).alias("one"))
     out = rows.join(decided.select("skey", "block", "whole", "all_shards"), ["skey", "block"]).join(picked, "uid", "left")
     out = out.withColumn("copies", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("int"))

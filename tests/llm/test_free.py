@@ -168,6 +168,12 @@ def test_language_accuracy_and_edges(spark):
     assert [r.doc_id for r in model.accepted(edges).collect()] == [4, 4] and model.accepted(edges).columns == edges.columns
     none = langid.train(table.limit(0))
     assert none.languages == [] and none.predict(edges).where("lang_pred <> 'und'").count() == 0
+    assert [r.doc_id for r in none.accepted(edges).collect()] == [4, 4]
+    strict = langid.train(table, as_filter=True)
+    other = docs(spark, [(5, "漢字かな交じり文の例をここに書いておくのでよく読んでください"), (6, "漢字"), (7, rows[0][1]), (7, rows[0][1]), (8, None)])
+    assert strict.reject_below > 0.05 and sorted(r.doc_id for r in strict.accepted(other).collect()) == [6, 7, 7]
+    assert strict.accepted(table).count() == 240 and strict.accepted(table.limit(0)).count() == 0
+    assert langid.train(table.limit(0), as_filter=True).reject_below == 0
 
 
 def labelled(spark, n, column, make):

@@ -238,3 +238,15 @@ def test_main_paths_stay_native(spark):
     for df in (exact_dedup.exact_duplicates(rows), mixing.plan_mix(rows), pii.default_model(spark).find(rows).select(F.size("base"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_mix_fills_up_beyond_a_long_document(spark):
+    """A source with some very long documents and many short ones comes as near its target as the short ones allow."""
+    sizes = [4000 if i % 60 == 7 else 3 + i % 5 for i in range(600)]
+    rows = docs(spark, [(i, "w " * n, "a" if i < 300 else "b") for i, n in enumerate(sizes)])
+    got = mixing.plan_mix(rows, shards=8).collect()
+    for name in (0, 300):
+        own = [r for r in got if name <= r.doc_id < name + 300]
+        lacks = own[0].target - sum(r.taken for r in own)
+        assert -1 < lacks < min(r.size for r in own if r.copies == min(x.copies for x in own)) + 1
+        assert all(len(r.shards) == r.copies <= 2 for r in own)
