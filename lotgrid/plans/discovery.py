@@ -208,7 +208,7 @@ ORACLE = {
     "scene_split_totals": """SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'test' WHEN '2-HIGH' THEN 'val' ELSE 'train' END AS split, CAST(sum(o_custkey % 5) AS BIGINT) AS tiles_written,
         CAST(sum(o_orderkey % 7) AS BIGINT) AS car_label_instances, CAST(sum(o_orderkey % 11) AS BIGINT) AS cars_in_scene FROM orders GROUP BY 1""",
     "layer_of_test_sites": "SELECT l_suppkey AS site_id, count(*) AS cars FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 3000) GROUP BY 1",
-    "entrance_counts": """WITH e AS (SELECT s_suppkey AS site_id, c_custkey AS ent FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) + 1)
+    "entrance_counts": """WITH e AS (SELECT CAST(s_suppkey AS INT) AS site_id, c_custkey AS ent FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) FROM supplier) + 1)
         SELECT 'retail' AS entrance, site_id, count(*) AS n_entrances FROM e WHERE ent % 2 = 0 GROUP BY site_id UNION ALL SELECT 'carpark', site_id, count(*) FROM e WHERE ent % 3 = 0 GROUP BY site_id""",
     "area_of_site": "SELECT CAST(s_suppkey AS VARCHAR) AS site_id, s_name AS name FROM supplier WHERE s_suppkey = 7",
     "inventory_order": "SELECT s_name AS scene, s_nationkey AS region, s_acctbal > 5000 AS is_color FROM supplier",
