@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .memory import claim, release
-from .scratch import fresh_path, sliced
+from .scratch import fresh_path, sliced, small_batches
 from .tokens import encoder, gathered
 
 WINDOW, OPEN, MERGE = 1024, 16, 64
@@ -163,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, window: int =
 
     path = fresh_path(spark, "pieces")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.mapInArrow(fill, f"{PIECE}, part int").write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(fill, f"{PIECE}, part int").write.option("compression", "zstd").parquet(path)
     done = spark.read.schema(f"{PIECE}, part int").parquet(path)
     left = done.where("part >= 0").withColumn("team", F.expr(f"part DIV {MERGE}"))
     left = left.repartition("team").sortWithinPartitions("team", "part", "sequence_id", "offset")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a slim dimension (keys and a few numbers) is sent to every executor.
 BROADCAST_ROWS = 20_000
+#: Rows of an Arrow batch while we write (by default they may hold 64 MB, several times over in an executor).
+BATCH_ROWS = 512
 #: Copies of each row of a larger dimension, so that one hot key is spread over as many tasks.
 SALTS = 32
 
@@ -34,11 +37,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs start from files that outlive executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for jobs run inside; after it the session's setting is as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches (which Spark bounds in bytes) in parts of few rows, as texts grow when they become Python objects."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
