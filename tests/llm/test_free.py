@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -283,6 +284,21 @@ def test_html_table(spark):
     assert html_crf.extract(pages.limit(0)).count() == 0
 
 
+def brute_targets(sizes):
+    """sizes: words by source. Shares by weight, those over twice their size cut back and the excess shared again."""
+    order = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)
+    weight = {x: (3, 1, 2)[k % 3] for k, x in enumerate(order)}
+    left, target, still = 1.5 * sum(sizes.values()), {}, set(order)
+    while still:
+        level = left / sum(weight[x] for x in still)
+        over = {x for x in still if weight[x] * level > 2 * sizes[x]}
+        if not over:
+            return target | {x: weight[x] * level for x in still}
+        target |= {x: 2.0 * sizes[x] for x in over}
+        left, still = left - sum(2 * sizes[x] for x in over), still - over
+    return target
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     import corpus_pipeline
 
@@ -301,6 +317,29 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert seen[1] == seen[0] - {0, 2}
     want, _ = brute_components([(i, t) for i, t, *_ in rows if i in seen[1]], 5, 80)
     assert seen[2] == {i for i in seen[1] if want[i] == i}
+    # Mixing: whole documents, at most twice; a source lacks less than any of its documents that was taken less often.
+    text, source, copies = {r[0]: r[1] for r in rows}, {r[0]: r[3] for r in rows}, Counter(r.doc_id for r in kept.select("doc_id").collect())
+    size = {i: len(text[i].split()) for i in seen[2]}
+    words = Counter()
+    for i in seen[2]:
+        words[source[i]] += size[i]
+    for x, target in brute_targets(words).items():
+        own = [i for i in seen[2] if source[i] == x]
+        lack = round(target) - sum(copies[i] * size[i] for i in own)
+        assert lack >= 0 and all(copies[i] <= 2 for i in own)
+        assert all(size[i] > lack for i in own if copies[i] < max(copies[j] for j in own))
+    # Packing: each id of each copy lies in one piece, and sequences are gapless and full or a power of two long.
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} == seen[3]
-    assert sum(r.length for r in out) == sum(sum(x.length for x in out if x.doc_id == i) for i in seen[3])
+    assert {r.doc_id for r in out} == seen[3] == set(copies)
+    slow, covered, sequences = plain("byte_bpe_50k.json"), Counter(), {}
+    want = {i: np.array([*slow.encode(text[i], add_special_tokens=False).ids, 0], "<u4") for i in copies}
+    for r in out:
+        assert r.doc_tokens == len(want[r.doc_id]) and bytes(r.ids) == want[r.doc_id][r.start : r.start + r.length].tobytes()
+        covered.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert covered == Counter({(i, k): n for i, n in copies.items() for k in range(len(want[i]))})
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [at for at, _ in pieces] == np.cumsum([0, *(n for _, n in pieces)])[:-1].tolist()
+        total = sum(n for _, n in pieces)
+        assert total == packing.WINDOW or total & (total - 1) == 0
