@@ -170,7 +170,8 @@ def mixed_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFr
     key, size, taken, side, rank, draw, shard = spare_names(docs.columns, "_key", "_size", "_taken", "_side", "_rank", "_draw", "_shard")
     plan = plan_mix(docs, shards, seed).select(F.col("alike").alias(key), F.col("shards").alias(taken), F.col("uid").alias(size), F.lit(1).alias(side))
     rows = docs.withColumns({key: alike(), size: F.monotonically_increasing_id(), side: F.lit(0)})
-    both = rows.unionByName(plan, allowMissingColumns=True)
+    # Dealt by the hash alone, which serves both windows: texts move once here.
+    both = rows.unionByName(plan, allowMissingColumns=True).repartition(key)
     both = both.withColumn(rank, F.row_number().over(Window.partitionBy(key, side).orderBy(size)))
     both = both.withColumn(taken, F.max(taken).over(Window.partitionBy(key, rank))).where(F.col(side) == 0)
     out = both.select("*", F.posexplode(taken).alias(draw, shard))
