@@ -14,10 +14,11 @@ def nearest(points: DataFrame, targets: DataFrame, keys: list[str], ident: list[
     """points (keys, ident, x, y) with dist, the distance to the nearest target (keys, x, y). Without a target: no row.
 
     Targets are gathered into one array a key (entrances of a site: a handful), so each point is one row throughout.
+    Points are merged with them, as Spark takes points that unfold from few rows (grid_sample) for few and would broadcast them.
     """
     gathered = targets.groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("_ts"))
     least = F.array_min(F.transform("_ts", lambda t: distance(F.col("x"), F.col("y"), t["x"], t["y"])))
-    return points.join(gathered, keys).select(*keys, *ident, "x", "y", least.alias("dist"))
+    return points.join(gathered.hint("merge"), keys).select(*keys, *ident, "x", "y", least.alias("dist"))
 
 
 def ring_gradient(cars: DataFrame, area: DataFrame, keys: list[str], ring: float = RING) -> DataFrame:
@@ -61,12 +62,16 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
 
 
 def grid_sample(polygons: DataFrame, keys: list[str], step: float = GRID) -> DataFrame:
-    """Grid points inside polygons (keys, ring), from the lower left of their bounds, the upper bounds excluded."""
+    """Grid points inside polygons (keys, ring), from the lower left of their bounds, the upper bounds excluded.
+
+    Polygons are dealt to all partitions before they unfold: their own few bytes would stay in one task.
+    """
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lo = lambda k: F.array_min(F.transform("ring", lambda p: p[k]))
     hi = lambda k: F.array_max(F.transform("ring", lambda p: p[k]))
     boxed = polygons.select(*keys, "ring", lo("x").alias("_x"), lo("y").alias("_y"), hi("x").alias("_X2"), hi("y").alias("_Y2"))
     count = lambda a, b: F.ceil((F.col(b) - F.col(a)) / step).cast("int")
-    boxed = boxed.where((F.col("_X2") > F.col("_x")) & (F.col("_Y2") > F.col("_y")))
+    boxed = boxed.where((F.col("_X2") > F.col("_x")) & (F.col("_Y2") > F.col("_y"))).repartition(parts, *keys)
     cells = boxed.withColumn("_i", F.explode(F.sequence(F.lit(0), count("_x", "_X2") - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0), count("_y", "_Y2") - 1)))
     points = cells.select(*keys, "ring", (F.col("_x") + F.col("_i") * step).alias("x"), (F.col("_y") + F.col("_j") * step).alias("y"))
     return points.where(inside(F.col("x"), F.col("y"), F.col("ring"))).select(*keys, "x", "y")

@@ -92,6 +92,20 @@ def test_rings_and_rank(spark):
     assert {r.k: r.rho for r in proximity.spearman(two, ["k"], "x", "y").collect()} == {1: None, 2: -1.0, 3: None}
 
 
+def test_grid_points_are_not_broadcast(spark, tmp_path):
+    """A row that unfolds into 250,000 grid points is small to Spark's estimate; the points stay with the executors."""
+    ring = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0), (0.0, 0.0)]
+    lots = spark.createDataFrame([(k, ring) for k in (1, 2)], "site int, ring array<struct<x: double, y: double>>")
+    lots.coalesce(1).write.parquet(f"{tmp_path}/lots")
+    lots = spark.read.parquet(f"{tmp_path}/lots")
+    area = proximity.grid_sample(lots, ["site"])
+    doors = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0)], "site int, x double, y double")
+    out = proximity.nearest(area, doors, ["site"], [])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert area.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.groupBy("site").count().orderBy("site").collect() == [(1, 250_000), (2, 250_000)]
+
+
 def test_bands_verdicts_and_rounding(spark):
     df = spark.createDataFrame([(74.99,), (75.0,), (200.0,), (200.01,), (None,)], "c double")
     assert [r[0] for r in df.select(rules.size_band(F.col("c"))).collect()] == ["Small", "Medium", "Medium", "Large", "Large"]
