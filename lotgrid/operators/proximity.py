@@ -27,13 +27,18 @@ def ring_gradient(cars: DataFrame, area: DataFrame, keys: list[str], ring: float
     cars and area: keys, dist. Rings go to the largest distance, the last one closed; rel is null without area.
     """
     both = cars.select(*keys, "dist", F.lit(1).alias("c")).unionByName(area.select(*keys, "dist", F.lit(0).alias("c")))
-    far = both.groupBy(*keys).agg(F.max("dist").alias("_far"), F.sum("c").alias("_cars"), F.sum(1 - F.col("c")).alias("_area"))
-    far = far.withColumn("_rings", (F.ceil((F.col("_far") + ring) / ring) - 1).cast("int")).where("_rings > 0 AND _cars > 0")
-    placed = both.join(far, keys).withColumn("ring_idx", F.least(F.floor(F.col("dist") / ring).cast("int"), F.col("_rings") - 1))
-    counts = placed.groupBy(*keys, "ring_idx").agg(F.sum("c").alias("car_h"), F.sum(1 - F.col("c")).alias("area_h"))
-    spine = far.withColumn("ring_idx", F.explode(F.sequence(F.lit(0), F.col("_rings") - 1)))
-    out = spine.join(counts, [*keys, "ring_idx"], "left")
-    n = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("car_h", "area_h")}
+    binned = both.groupBy(*keys, F.floor(F.col("dist") / ring).alias("_bin")).agg(F.max("dist").alias("_far"), F.sum("c").alias("_c"), F.sum(1 - F.col("c")).alias("_a"))
+    key = Window.partitionBy(*keys)
+    binned = binned.withColumns({"_far": F.max("_far").over(key), "_cars": F.sum("_c").over(key), "_area": F.sum("_a").over(key)})
+    binned = binned.withColumn("_rings", (F.ceil((F.col("_far") + ring) / ring) - 1).cast("int")).where("_rings > 0 AND _cars > 0")
+    placed = binned.withColumn("_at", F.least(F.col("_bin").cast("int"), F.col("_rings") - 1))
+    counts = placed.groupBy(*keys, "_rings", "_cars", "_area", "_at").agg(F.sum("_c").alias("_c"), F.sum("_a").alias("_a"))
+    # Each ring with points also gives the empty ones after it, and the first those before it.
+    order = key.orderBy("_at")
+    first, after = F.when(F.row_number().over(order) == 1, 0).otherwise(F.col("_at")), F.coalesce(F.lead("_at").over(order), F.col("_rings"))
+    out = counts.withColumns({"_first": first, "_after": after}).withColumn("ring_idx", F.explode(F.sequence(F.col("_first"), F.col("_after") - 1)))
+    own = F.col("ring_idx") == F.col("_at")
+    n = {c: F.when(own, F.col(k)).otherwise(0).cast("long") for c, k in (("car_h", "_c"), ("area_h", "_a"))}
     rel = F.try_divide(n["car_h"] / F.col("_cars"), F.try_divide(n["area_h"].cast("double"), F.col("_area").cast("double")))
     return out.select(*keys, "ring_idx", ((F.col("ring_idx") * ring + (F.col("ring_idx") + 1) * ring) / 2).alias("mid"), n["car_h"].alias("car_h"), n["area_h"].alias("area_h"), rel.alias("rel"))
 

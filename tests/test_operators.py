@@ -106,6 +106,16 @@ def test_grid_points_are_not_broadcast(spark, tmp_path):
     assert out.groupBy("site").count().orderBy("site").collect() == [(1, 250_000), (2, 250_000)]
 
 
+def test_rings_read_the_distances_once(spark):
+    cars = spark.createDataFrame([(1, 25.0), (1, 65.0), (2, 3.0), (3, 0.0)], "site int, dist double")
+    area = spark.createDataFrame([(1, 31.0), (1, 70.0), (2, 40.0), (4, 9.0)], "site int, dist double")
+    rings = proximity.ring_gradient(cars, area, ["site"])
+    rows = sorted((r.site, r.ring_idx, r.car_h, r.area_h) for r in rings.collect())
+    one = [(1, 0, 0, 0), (1, 1, 0, 0), (1, 2, 1, 0), (1, 3, 0, 1), (1, 4, 0, 0), (1, 5, 0, 0), (1, 6, 1, 1)]
+    assert rows == [*one, (2, 0, 1, 0), (2, 1, 0, 0), (2, 2, 0, 0), (2, 3, 0, 1)]
+    assert "Join" not in rings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bands_verdicts_and_rounding(spark):
     df = spark.createDataFrame([(74.99,), (75.0,), (200.0,), (200.01,), (None,)], "c double")
     assert [r[0] for r in df.select(rules.size_band(F.col("c"))).collect()] == ["Small", "Medium", "Medium", "Large", "Large"]
