@@ -50,11 +50,17 @@ def mean_rank(keys: list[str], column: str) -> Column:
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation by key as rho; null below three rows or without variance."""
-    ranked = rows.withColumns({"_x": mean_rank(keys, x), "_y": mean_rank(keys, y)})
-    agg = ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))).alias("rho"), F.count("*").alias("_n"), F.var_pop("_x").alias("_vx"), F.var_pop("_y").alias("_vy"))
+    """Rank correlation by key as rho; null below three rows or without variance.
+
+    Twice the ranks less their mean are whole numbers, so their products are added exactly: a rho of 0 is 0, not a rest of
+    rounding whose sign hangs on the order of the rows.
+    """
+    counted = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    ranked = counted.withColumns({k: (2 * mean_rank(keys, c) - (F.col("_n") + 1)).cast("long") for k, c in (("_x", x), ("_y", y))})
+    total = lambda a, b: F.sum((F.col(a) * F.col(b)).cast("decimal(20, 0)")).cast("double")
+    agg = ranked.groupBy(*keys).agg(F.count("*").alias("_n"), total("_x", "_y").alias("_xy"), total("_x", "_x").alias("_vx"), total("_y", "_y").alias("_vy"))
     ok = (F.col("_n") >= 3) & (F.col("_vx") > 0) & (F.col("_vy") > 0)
-    return agg.select(*keys, F.when(ok, F.col("rho")).alias("rho"))
+    return agg.select(*keys, F.when(ok, F.col("_xy") / F.sqrt(F.col("_vx") * F.col("_vy"))).alias("rho"))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:

@@ -1,5 +1,7 @@
 """Operators against plain Python on small cases, and on labelled sites where a folder of them is named."""
 
+import itertools
+import math
 import os
 import random
 import sqlite3
@@ -116,6 +118,15 @@ def test_rings_read_the_distances_once(spark):
     assert "Join" not in rings._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rank_correlation_of_zero_is_zero(spark):
+    """In any order of the rows; sums of floats gave 4e-17 or its negative, and so another verdict."""
+    ranks = [p for n in (4, 5, 6) for p in itertools.permutations(range(n)) if sum((2 * i - n + 1) * (2 * r - n + 1) for i, r in enumerate(p)) == 0]
+    rows = [(k, float(i), float(r)) for k, p in enumerate(ranks) for i, r in enumerate(p)]
+    table = spark.createDataFrame(rows[::-1], "k int, x double, y double")
+    got = [r.rho for r in proximity.spearman(table, ["k"], "x", "y").collect()]
+    assert len(got) == len(ranks) and all(r == 0 and math.copysign(1, r) == 1 for r in got)
+
+
 def test_bands_verdicts_and_rounding(spark):
     df = spark.createDataFrame([(74.99,), (75.0,), (200.0,), (200.01,), (None,)], "c double")
     assert [r[0] for r in df.select(rules.size_band(F.col("c"))).collect()] == ["Small", "Medium", "Medium", "Large", "Large"]
