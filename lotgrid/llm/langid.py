@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from .memory import claim, release
 from .sampling import per_class
-from .scratch import sliced
+from .scratch import sliced, small_batches
 
-#: Dimensions; labelled texts of each language that prototypes are fitted on, chosen by a hash of the id.
+#: Dimensions; labelled texts of each language that prototypes are fitted on by default, chosen by a hash of the id.
 DIMS, TRAIN_EACH, SEED = 1024, 1500, 17
 UNKNOWN = "und"
 #: As a filter: distinct trigrams from which on a cosine is evidence (the cosines of shorter texts scatter down to 0, so they
@@ -28,6 +28,8 @@ UNKNOWN = "und"
 EVIDENCE, REJECT_SHARE = 20, 0.5
 #: Texts whose vectors are made at once, trigrams whose vectors are expanded at once, trigrams remembered.
 _TEXTS, _CHUNK, _MEMORY = 64, 4096, 24_000
+#: Parts of a unit in which vectors are added up: fine enough for float32, and 2^33 texts stay below 2^63.
+_UNIT = 1 << 30
 
 
 class Trigrams:
@@ -170,28 +172,35 @@ class LanguageModel:
         return docs.mapInArrow(run, docs.schema)
 
 
-def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH, as_filter: bool = False) -> LanguageModel:
+def train(docs: DataFrame, keep: Column | None = None, each: int | None = TRAIN_EACH, as_filter: bool = False) -> LanguageModel:
     """Prototypes from about `each` labelled texts of every language of docs (doc_id, text, lang) where keep holds.
 
-    as_filter: the sample is read once more and reject_below set to REJECT_SHARE of the smallest cosine that one of its
-    texts with EVIDENCE trigrams has with its own language's prototype (0 if there is no such text).
+    each None: from every labelled row. as_filter: these texts are read once more and reject_below set to REJECT_SHARE of the
+    smallest cosine that one of them with EVIDENCE trigrams has with its own language's prototype (0 if there is no such text).
+    Sums are of whole numbers (_UNIT a unit) and made by the executors, so the model hangs on no order and the driver gets DIMS a language.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull())
-    chosen, _ = per_class(rows.where(keep) if keep is not None else rows, "lang", each, ("doc_id", "text"))
+    rows = rows.where(keep) if keep is not None else rows
+    chosen = (rows if each is None else per_class(rows, "lang", each, ("doc_id", "text"))[0]).select("lang", "text")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in sliced(batches):
             vectors = _trigrams().texts([x or "" for x in b.column("text").to_pylist()])
-            for lang, v in zip(b.column("lang").to_pylist(), vectors, strict=True):
-                sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
-        if sums:
-            yield pa.record_batch([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "sums"])
-
+            whole = np.rint(vectors.astype(np.float64) * _UNIT).astype(np.int64)
+            names = np.array(b.column("lang").to_pylist(), object)
+            for lang in set(names.tolist()):
+                sums[lang] = sums.get(lang, 0) + whole[names == lang].sum(axis=0)
+        release()
+        for lang, v in sums.items():
+            yield pa.record_batch([pa.array([lang] * DIMS, pa.string()), pa.array(range(DIMS), pa.int32()), pa.array(v)], ["lang", "dim", "total"])
+
+    with small_batches(docs.sparkSession):
+        found = chosen.mapInArrow(bundle, "lang string, dim int, total long").groupBy("lang", "dim").agg(F.sum("total")).collect()
     total: dict[str, np.ndarray] = {}
-    for lang, sums in chosen.select("lang", "text").mapInArrow(bundle, "lang string, sums binary").collect():
-        total[lang] = total.get(lang, 0) + np.frombuffer(bytes(sums), np.float64)
+    for lang, dim, n in found:
+        total.setdefault(lang, np.zeros(DIMS))[dim] = n / _UNIT
     names = sorted(k for k, v in total.items() if np.any(v))
     rows_ = [total[k] / np.linalg.norm(total[k]) for k in names]
     model = LanguageModel(names, np.array(rows_, np.float32).reshape(len(names), DIMS))
@@ -205,8 +214,10 @@ def train(docs: DataFrame, keep: Column | None = None, each: int = TRAIN_EACH, a
             own = [model.languages.index(x) if x in model.languages else -1 for x in b.column("lang").to_pylist()]
             cosines = np.einsum("ij,ij->i", vectors, model.prototypes[own])
             least = min([least, *cosines[(sizes >= EVIDENCE) & (np.array(own) >= 0)].tolist()])
+        release()
         yield pa.record_batch([pa.array([least])], ["least"])
 
-    found = chosen.select("lang", "text").mapInArrow(smallest, "least double").agg(F.min("least")).first()[0]
-    model.reject_below = REJECT_SHARE * max(0.0, found if found is not None and found < 1 else 0.0)
+    with small_batches(docs.sparkSession):
+        least = chosen.mapInArrow(smallest, "least double").agg(F.min("least")).first()[0]
+    model.reject_below = REJECT_SHARE * max(0.0, least if least is not None and least < 1 else 0.0)
     return model

@@ -177,6 +177,27 @@ def test_language_accuracy_and_edges(spark):
     assert langid.train(table.limit(0), as_filter=True).reject_below == 0
 
 
+def test_pipeline_learns_languages_from_every_row(spark, monkeypatch):
+    """3,000 texts of a language, twice the bound of samples: each has its part in prototype and bound, repeated rows too."""
+    import corpus_pipeline
+
+    words = "ka lo mi tu ne sa ri vo".split()
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice(words) for _ in range(3)) for _ in range(12)) for _ in range(2999)] + ["kalomi tunesa rivoka schung keitver achplotz"]
+    rows = [(i, t, "aa", "s", 1) for i, t in enumerate(texts)] * 2 + [(None, None, "aa", "s", 1), (9000, "zwölf boxkämpfer", None, "s", 1)]
+    models, train = [], langid.train
+    monkeypatch.setattr(langid, "train", lambda *a, **b: models.append(train(*a, **b)) or models[-1])
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(7)
+    assert corpus_pipeline.language(spark, table, "").count() == 6001
+    vectors, sizes = langid.Trigrams().texts_and_sizes(texts)
+    want = vectors.astype(np.float64).sum(axis=0)
+    want /= np.linalg.norm(want)
+    assert models[0].languages == ["aa"] and np.abs(models[0].prototypes[0] - want).max() < 1e-6
+    assert abs(models[0].reject_below - langid.REJECT_SHARE * max(0.0, (vectors @ want)[sizes >= langid.EVIDENCE].min())) < 1e-6
+    again = train(table.repartition(3), each=None)
+    assert (again.prototypes == models[0].prototypes).all()
+
+
 def labelled(spark, n, column, make):
     rng = random.Random(4)
     rows, marks = [], []
